@@ -76,3 +76,34 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+#: Bits of an id bitmap: 8 MB, however many ids there are.
+BITMAP_BITS = 1 << 26
+
+
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the low bits of long ids: a superset of them in a fixed number of bytes.
+
+    Rows outside it are surely not among the ids, so work on them can be skipped; rows inside still
+    need an exact join. At most BITMAP_BITS / 64 rows reach the driver.
+    """
+    place = F.col(column).bitwiseAND(BITMAP_BITS - 1)
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((`{column}` & 63) as int))").alias("bit")
+    found = ids.where(F.col(column).isNotNull()).select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = ids.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+#: Stands for a null document id where ids are joined.
+NO_ID = -(2**63)
+
+
+def id_key(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
