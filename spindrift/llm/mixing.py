@@ -69,22 +69,40 @@ def _rate(lam: Column, z: Column, cap: float) -> Column:
     return F.lit(cap) / (F.lit(1.0) + F.lit(cap - 1.0) * F.exp(-F.greatest(F.least(lam * z, F.lit(500.0)), F.lit(-500.0))))
 
 
-def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, keep: Sequence[str] = ("doc_id", "source")) -> DataFrame:
-    """The columns `keep` of each document with size, source_size, target, rate and copies."""
+def _copies(cap: float) -> Column:
+    """Whole copies from free, rate, u and shift."""
+    moved = F.floor(F.col("rate") + F.col("u") + F.col("shift"))
+    return F.when(F.col("free"), F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), moved))).otherwise(F.col("rate"))
+
+
+def _rated(rows: DataFrame, fitted: DataFrame, cap: float) -> DataFrame:
+    """`rows` (source, size, ...) with the columns of their source in `fitted` and the rate."""
+    names = [F.col(f"b.{c}") for c in rows.columns]
+    per_source = [F.col(f"s.{c}") for c in fitted.columns if c != "source"]
+    joined = rows.alias("b").join(fitted.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(*names, *per_source)
+    free_rate = _rate(F.col("lam"), F.col("size") / F.col("scale"), cap)
+    return joined.withColumn("rate", F.when(F.col("free"), free_rate).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0)))
+
+
+def _sized(documents: DataFrame) -> DataFrame:
+    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) * F.lit(2.0**-53)
+    return documents.withColumn("size", word_count(F.col("text"))).withColumn("u", u)
+
+
+def fit(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """Per source of `sized` (source, size, u): source_size, target, scale, lam, free and shift."""
     if not float(cap).is_integer() or cap < 2:
         raise ValueError("cap is a whole number from 2")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) * F.lit(2.0**-53)).alias("u")
-    base = pinned(documents.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), u))
-    targets = source_targets(base.select("source", "size"), weights, share, cap)
-    cells = base.groupBy("source", "size").agg(F.count("*").alias("n"))
+    base = pinned(sized.select("source", "size", "u"))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-
+    cells = pinned(base.groupBy("source", "size").agg(F.count("*").alias("n")))
     scale = base.groupBy("source").agg(F.greatest(F.avg("size"), F.lit(1.0)).alias("scale"))
-    state = targets.alias("t").join(scale.alias("s"), same("t", "s")).select("t.*", "s.scale")
-    state = pinned(state.withColumn("lam", F.lit(0.0)).withColumn("free", (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap)))
-    cells = pinned(cells)
+    state = source_targets(base.select("source", "size"), weights, share, cap).alias("t").join(scale.alias("s"), same("t", "s")).select("t.*", "s.scale")
+    free = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap)
+    state = pinned(state.select("*", F.lit(0.0).alias("lam"), free.alias("free")))
     for _ in range(NEWTON_STEPS):
-        tilted = cells.alias("c").join(state.alias("s"), same("c", "s")).where("s.free").select("s.source", "s.lam", "s.target", "c.n", "c.size", (F.col("c.size") / F.col("s.scale")).alias("z"))
+        tilted = cells.alias("c").join(state.alias("s"), same("c", "s")).where("s.free")
+        tilted = tilted.select("s.source", "s.lam", "c.n", "c.size", (F.col("c.size") / F.col("s.scale")).alias("z"))
         r = _rate(F.col("lam"), F.col("z"), cap)
         step = tilted.groupBy("source").agg(
             F.sum(F.col("n") * F.col("size") * r).alias("got"),
@@ -97,18 +115,14 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         release(state)
         state = after
 
-    free_rate = _rate(F.col("s.lam"), F.col("b.size") / F.col("s.scale"), cap)
-    rate = F.when(F.col("s.free"), free_rate).when(F.col("s.target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
-    rated = base.alias("b").join(state.alias("s"), same("b", "s")).select("b.doc_id", "b.source", "b.size", "b.u", "s.source_size", "s.target", "s.free", rate.alias("rate"))
-    rated = pinned(rated)
+    rated = pinned(_rated(base, state, cap).where("free").select("source", "size", "u", "rate", "free"))
     shifts = pinned(state.select("source", "target", F.lit(-1.0).alias("low"), F.lit(2.0).alias("width")))
-
-    def copies(shift: Column) -> Column:
-        return F.when(F.col("free"), F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.floor(F.col("rate") + F.col("u") + shift)))).otherwise(F.col("rate"))
-
     for _ in range(SECTION_STEPS):
-        tried = rated.alias("r").join(shifts.alias("h"), same("r", "h")).select("r.source", "r.size", "r.rate", "r.u", "r.free", "h.target", "h.low", "h.width")
-        sums = [F.sum(F.col("size") * copies(F.col("low") + F.col("width") * (k / SECTIONS))) for k in range(SECTIONS)]
+        tried = rated.alias("r").join(shifts.alias("h"), same("r", "h")).select("r.*", "h.low", "h.width")
+        sums = []
+        for k in range(SECTIONS):
+            moved = F.floor(F.col("rate") + F.col("u") + F.col("low") + F.col("width") * (k / SECTIONS))
+            sums.append(F.sum(F.col("size") * F.greatest(F.lit(0), F.least(F.lit(int(cap)), moved))))
         counted = tried.groupBy("source").agg(F.array(*sums).alias("sums"))
         joined = shifts.alias("h").join(counted.alias("c"), same("h", "c"), "left")
         # What is taken rises with the shift: the last section that starts at or below the target.
@@ -116,15 +130,26 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         after = pinned(joined.select("h.source", "h.target", (F.col("h.low") + F.col("h.width") * part / SECTIONS).alias("low"), (F.col("h.width") / SECTIONS).alias("width")))
         release(shifts)
         shifts = after
-    out = rated.alias("r").join(shifts.alias("h"), same("r", "h")).select("r.*", F.col("h.low"))
-    return out.select(*keep, "size", "source_size", "target", "rate", copies(F.col("low")).cast("int").alias("copies"))
+    return pinned(state.alias("s").join(shifts.alias("h"), same("s", "h")).select("s.*", F.col("h.low").alias("shift")))
+
+
+def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate and copies of each document."""
+    sized = pinned(_sized(documents.select("doc_id", "source", "text")).drop("text"))
+    rated = _rated(sized, fit(sized, weights, share, cap), cap)
+    return rated.select("doc_id", "source", "size", "source_size", "target", "rate", _copies(cap).cast("int").alias("copies"))
 
 
 def mixed_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """`documents` with each row repeated as often as the mix takes it."""
-    taken = mix(documents, weights, share, cap).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    joined = documents.alias("d").join(taken.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-    return joined.where("m.copies > 0").select("d.*", F.explode(F.expr("sequence(1, m.copies)")).alias("copy_no")).drop("copy_no")
+    """`documents` with each row repeated as often as the mix takes it.
+
+    The texts meet only the per-source table, so they are not shuffled while that table is small.
+    """
+    names = [F.col(f"d.{c}") for c in documents.columns]
+    fitted = fit(_sized(documents.select("doc_id", "source", "text")).drop("text"), weights, share, cap)
+    keyed = documents.select(F.struct("*").alias("d"), F.col("doc_id"), F.col("source"), F.col("text"))
+    rated = _rated(_sized(keyed).drop("text", "doc_id"), fitted, cap).withColumn("copies", _copies(cap).cast("int"))
+    return rated.where("copies > 0").select("d", F.explode(F.expr("sequence(1, copies)")).alias("copy_no")).select(*names)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from spindrift.llm.langid import op4_language
 from spindrift.llm.line_dedup import op6_line_dedup
 from spindrift.llm.lm_scoring import op3_lm_scoring
 from spindrift.llm.mixing import op9_mixing
+from spindrift.llm.near_dedup import op7_near_dedup
 from spindrift.llm.packing import op8_packing
 from spindrift.llm.token_counts import op1_token_counts
 from spindrift.llm.toxicity import op10_toxicity
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
@@ -62,3 +64,13 @@ ORACLE_SQL: dict[str, str] = {
         FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
     """,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
