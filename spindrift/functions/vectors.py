@@ -23,19 +23,41 @@ def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, not once per element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def z_scores(v: Column) -> Column:
     """Population z-scores; zeros for a constant vector."""
-    n = F.size(v)
-    mean = _sum(v) / n
-    sd = F.sqrt(_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
-    return F.transform(v, lambda x: F.when(sd > 1e-12, (x - mean) / sd).otherwise(0.0))
+    mean = _sum(v) / F.size(v)
+
+    def scaled(m: Column) -> Column:
+        sd = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+        return _let(sd, lambda d: F.transform(v, lambda x: F.when(d > 1e-12, (x - m) / d).otherwise(0.0)))
+
+    return _let(mean, scaled)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """0.85 x mean product of z-scores + 0.15 x (1 - mean squared error), for vectors scaled to [0, 1]."""
-    z = _sum(F.zip_with(z_scores(a), z_scores(b), lambda x, y: x * y)) / F.size(a)
-    mse = _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a)
-    return 0.85 * z + 0.15 * (1.0 - mse)
+    """0.85 x mean product of z-scores + 0.15 x (1 - mean squared error), for vectors scaled to [0, 1].
+
+    From five running sums: the mean product of z-scores is the correlation.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("a", "b", "aa", "bb", "ab")])
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def add(s: Column, e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        return F.struct((s["a"] + x).alias("a"), (s["b"] + y).alias("b"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"), (s["ab"] + x * y).alias("ab"))
+
+    def close(s: Column) -> Column:
+        n = F.size(a)
+        va, vb = s["aa"] / n - (s["a"] / n) * (s["a"] / n), s["bb"] / n - (s["b"] / n) * (s["b"] / n)
+        z = F.when((va > 1e-18) & (vb > 1e-18), (s["ab"] / n - s["a"] * s["b"] / n / n) / F.sqrt(va * vb)).otherwise(0.0)
+        return 0.85 * z + 0.15 * (1.0 - (s["aa"] + s["bb"] - 2.0 * s["ab"]) / n)
+
+    return F.aggregate(pairs, zero, add, close)
 
 
 def shift_correlation(a: Column, b: Column, length: int, shift: int = 14, least: int = 8) -> Column:
@@ -50,10 +72,9 @@ def shift_correlation(a: Column, b: Column, length: int, shift: int = 14, least:
 
 def median_bits(v: Column) -> Column:
     """1 where a component exceeds the vector's median."""
-    s = F.array_sort(v)
     n = F.size(v)
-    middle = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2
-    return F.transform(v, lambda x: F.when(x > middle, 1).otherwise(0))
+    of = lambda s: (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2
+    return _let(_let(F.array_sort(v), of), lambda m: F.transform(v, lambda x: F.when(x > m, 1).otherwise(0)))
 
 
 def bit_agreement(a: Column, b: Column, of: int) -> Column:
