@@ -84,10 +84,14 @@ def scored(features: DataFrame, p: Params = DEFAULTS, radius: int = 0) -> DataFr
 
 
 def representatives(frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """entity, pos, t, page, peak and cluster_size of the chosen frames of each recording."""
-    metrics = prefilter_metrics(frames)
+    """entity, pos, t, page, peak and cluster_size of the chosen frames of each recording.
+
+    Metrics, features and scores are each read several times and costly to make, so they are persisted
+    (spilling to disk; a lost block is made again). The caller may unpersist them by `clearCache`.
+    """
+    metrics = prefilter_metrics(frames).persist()
     wanted = selection.prefilter(metrics, "composite", p).select(F.col("entity").alias("video_id"), F.col("pos").alias("frame_idx"))
-    rows = scored(frame_features(frames.join(wanted, ["video_id", "frame_idx"], "left_semi")), p)
+    rows = scored(frame_features(frames.join(wanted, ["video_id", "frame_idx"], "left_semi")).persist(), p).persist()
     floors = stats.post_calibration(rows, p=p).select("entity", "min_norm")
     rows = rows.join(floors, "entity")
     peaks = windows.peaks_with_blur(rows, "peak", "norm", "blur", p.min_peak_distance_sec, 0.0, p.peak_tie_eps, p.peak_tie_blur, p.peak_tie_factor, bucket=60.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def session(app: str = "spindrift", **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

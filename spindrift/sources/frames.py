@@ -1,5 +1,6 @@
 """Frames of recordings as a Spark data source, with a pluggable decoder.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)  # `spindrift.session` does so
     spark.dataSource.register(FrameSource)
     spark.read.format("frames").option("decoder", "package.module:function").option("paths", "a,b").load()
 
@@ -21,16 +22,16 @@ SCHEMA = "video_id string, frame_idx long, t_sec double, height int, width int,
 
 
 def synthetic(path: str, step: int = 1, wanted: frozenset[int] | None = None) -> Iterator[tuple[int, float, np.ndarray]]:
-    """Ten frames to a page: a bright page with dark lines, dimmed and shifted while it turns."""
+    """Sixty frames (two seconds) to a page: bright with few or many dark lines, dim and shifted while it turns."""
     _, seed, count = path.split(":")
     for i in range(int(count)):
         if i % step or (wanted is not None and i not in wanted):
             continue
-        rng = np.random.default_rng([int(seed), i // 10])
+        rng = np.random.default_rng([int(seed), i // 60])
         page = np.full((48, 64, 3), 225, np.uint8)
-        for row in rng.choice(np.arange(4, 44), 12, replace=False):
+        for row in rng.choice(np.arange(4, 44), 18 if i // 60 % 2 else 5, replace=False):
             page[row, 6 : 6 + int(rng.integers(20, 52))] = 40
-        turn = i % 10 >= 8
+        turn = i % 60 >= 45
         yield i, 30.0, np.roll(page, 12, axis=1) // 2 if turn else page
 
 

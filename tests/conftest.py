@@ -16,6 +16,7 @@ def spark():
     conf = {
         "spark.master": "local[4]", "spark.driver.memory": "3g", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
