@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing
-from spindrift.llm.common import DOCUMENT_COLUMNS, id_bitmap, id_key, in_bitmap, pinned, table
+from spindrift.llm.common import DOCUMENT_COLUMNS, bitmap_filter, id_bitmap, id_key, pinned, table
 
 #: A language is believed from this posterior probability.
 LEAST_SCORE = 0.5
@@ -45,18 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
     touched = spark.sparkContext.broadcast(id_bitmap(gone.union(again), "gone_id"))
 
-    def part(inside: bool) -> DataFrame:
-        def go(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(touched.value, batch.column("__key").to_numpy()) == inside))
-
-        keyed = docs.withColumn("__key", id_key())
-        return keyed.mapInArrow(go, keyed.schema).drop("__key")
-
-    rest = part(True).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
-    return part(False).union(rest)
+    keyed = docs.withColumn("__key", id_key())
+    inside = bitmap_filter(touched, "__key")
+    rest = keyed.where(inside).drop("__key").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
+    return keyed.where(~inside).drop("__key").union(rest)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

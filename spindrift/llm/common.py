@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,15 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def bitmap_filter(shared, column: str) -> Column:
+    """Whether a long column is in a broadcast bitmap. Only that column goes through Python."""
+    @F.pandas_udf("boolean")
+    def inside(ids: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, ids.to_numpy(np.int64)))
+
+    return inside(F.col(column))
+
+
 #: Stands for a null document id where ids are joined.
 NO_ID = -(2**63)
 

@@ -9,8 +9,9 @@ size), and each class is listed under the words of its prefix, unless no other c
 under one word are compared in order of length. Three filters come before any verification, none of
 which can lose a pair: length, position of the common word, and the number of differing bits between
 parity sketches of the sets, which the symmetric difference cannot be below. Of a class's remaining
-earlier partners the nearest `NEAREST` are verified on the full word sets; a class that had more and
-none held is searched again among all its partners, so the result is exact.
+earlier partners the nearest by sketch is verified on the full word sets, if it fails the next up to
+`NEAREST`; a class that had more and none held is searched again among all its partners, so the result
+is exact.
 
 Sets and words are known by 64-bit hashes. A null text is empty; a null doc_id counts as one document,
 the first; rows with one id count as one document, the lines at one place as one line. The result has
@@ -24,17 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import id_bitmap, id_key, in_bitmap, pinned, slices, table, utf8
+from spindrift.llm.common import bitmap_filter, id_bitmap, id_key, in_bitmap, pinned, slices, table, utf8
 from spindrift.llm.textkernel import mix, span_hashes, word_bounds
 
 FEWEST = 5
 #: The similarity as a fraction.
 SAME, OF = 4, 5
-NEAREST = 3
-SKETCH_BITS, BLOCK_BITS = 23, 14
+NEAREST = 8
+SKETCH_BITS, BLOCK_BITS = 24, 14
 #: Lines up to SHORT_MOST words use short parity sketches, those from LONG_LEAST long ones; a pair
 #: within the length filter is always in one of the two kinds.
 SHORT_MOST, LONG_LEAST = 200, 160
@@ -44,7 +45,8 @@ FLUSH_BYTES = 24 << 20
 
 
 def _posting(words: int) -> np.dtype:
-    return np.dtype([("token", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("set", "<u8"), ("sketch", "<u8", (words,))])
+    size = "<u2" if words == SHORT_WORDS else "<u4"
+    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("line", "<u4"), ("doc", "<i8"), ("set", "<u8"), ("sketch", "<u8", (words,))])
 
 
 class Lines:
@@ -129,7 +131,7 @@ def _survey(documents: DataFrame) -> DataFrame:
     """block null: set, key, line of every line; else counts of distinct lines' words by hash block."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # saturating: ranks are logarithmic
         seen: set[int] = set()
         for lines in _batches(batches):
             k = len(lines.n)
@@ -138,7 +140,8 @@ def _survey(documents: DataFrame) -> DataFrame:
             new = np.fromiter((x not in seen for x in own.sets.tolist()), bool, len(own.sets))
             seen.update(own.sets[new].tolist())
             at, n = np.unique(own.hashes[np.repeat(new, own.n)] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            counts[at.astype(np.int64)] += n.astype(np.uint32)
+            at = at.astype(np.int64)
+            counts[at] = np.minimum(255, counts[at] + n)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         some = np.flatnonzero(blocks.any(axis=1))
         k = len(some)
@@ -148,12 +151,12 @@ def _survey(documents: DataFrame) -> DataFrame:
 
 
 def _word_ranks(survey: DataFrame) -> np.ndarray:
-    """By the top SKETCH_BITS bits of a word's hash: 0, 1, or a rank that grows with its count (8 MB)."""
+    """By the top SKETCH_BITS bits of a word's hash: 0, 1, or a rank that grows with its count (16 MB)."""
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
+            total += np.frombuffer(zlib.decompress(x), np.uint8)
         rank = np.where(total < 2, total, np.minimum(255, 2 + np.log2(np.maximum(total, 2)) * 6))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([rank.astype(np.uint8).tobytes()], pa.binary())})
 
@@ -206,8 +209,8 @@ def _postings(documents: DataFrame, ranks, buckets: int, wanted) -> DataFrame:
     return documents.mapInArrow(post, "bucket int, kind int, postings binary")
 
 
-def nearest_earlier(p: np.ndarray, nearest: int | None, later_in: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets, an earlier partner that passes all filters, and whether the set has further ones.
+def nearest_earlier(p: np.ndarray, nearest: int | None, later_in: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Sets, an earlier partner that passes all filters, its sketch distance, and whether there are more.
 
     `nearest` None gives all partners; `later_in` limits the later sets to a bitmap.
     """
@@ -265,22 +268,21 @@ def nearest_earlier(p: np.ndarray, nearest: int | None, later_in: np.ndarray | N
                 kept = len(found[0][0])
         step += 1
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    later, earlier, _, more = reduce(found)
-    return later, earlier, more
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return reduce(found)
 
 
 def _candidates(postings: DataFrame, nearest: int | None, later_in) -> DataFrame:
-    """later, earlier, more: distinct pairs of sets to verify."""
+    """later, earlier, far, more: distinct pairs of sets to verify."""
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         words = LONG_WORDS if key[1].as_py() else SHORT_WORDS
         p = np.frombuffer(b"".join(t.column("postings").to_pylist()), _posting(words))
-        later, earlier, more = nearest_earlier(p, nearest, later_in.value if later_in is not None else None)
-        return pa.table({"later": later.view(np.int64), "earlier": earlier.view(np.int64), "more": more})
+        later, earlier, far, more = nearest_earlier(p, nearest, later_in.value if later_in is not None else None)
+        return pa.table({"later": later.view(np.int64), "earlier": earlier.view(np.int64), "far": far, "more": more})
 
-    found = postings.groupBy("bucket", "kind").applyInArrow(compare, "later long, earlier long, more boolean")
-    return found.groupBy("later", "earlier").agg(F.bool_or("more").alias("more"))
+    found = postings.groupBy("bucket", "kind").applyInArrow(compare, "later long, earlier long, far long, more boolean")
+    return found.groupBy("later", "earlier").agg(F.min("far").alias("far"), F.bool_or("more").alias("more"))
 
 
 def _word_sets(documents: DataFrame, wanted) -> DataFrame:
@@ -298,16 +300,18 @@ def _word_sets(documents: DataFrame, wanted) -> DataFrame:
     return documents.mapInArrow(emit, "set long, words array<long>").groupBy("set").agg(F.first("words").alias("words"))
 
 
-def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with their exact verdict `same`."""
-    context = documents.sparkSession.sparkContext
+def _sets_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("later").alias("set")).union(pairs.select(F.col("earlier").alias("set")))
-    sets = pinned(_word_sets(documents, context.broadcast(id_bitmap(ends, "set"))))
+    return pinned(_word_sets(documents, documents.sparkSession.sparkContext.broadcast(id_bitmap(ends, "set"))))
+
+
+def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set of each later set of `pairs` that an earlier one matches, by their full word sets."""
     a, b = sets.select(F.col("set").alias("later"), F.col("words").alias("x")), sets.select(F.col("set").alias("earlier"), F.col("words").alias("y"))
-    both = pairs.join(a, "later").join(b, "earlier")
+    both = pairs.select("later", "earlier").join(a, "later").join(b, "earlier")
     common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return both.select("later", "more", (common * OF >= union * SAME).alias("same"))
+    same = both.where(common * OF >= (F.size("x") + F.size("y") - common) * SAME)
+    return pinned(same.select(F.col("later").alias("set")).distinct())
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
@@ -319,10 +323,14 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     ranks = context.broadcast(_word_ranks(survey))
     buckets = max(8, min(1 << 20, -(-classes.count() * 8 // POSTINGS_A_BUCKET)))
 
-    pairs = pinned(_candidates(_postings(documents, ranks, buckets, None), NEAREST, None))
-    verdicts = pinned(_verified(documents, pairs).groupBy("later").agg(F.bool_or("same").alias("same"), F.bool_or("more").alias("more")))
-    matched = verdicts.where("same").select(F.col("later").alias("set"))
-    open_sets = verdicts.where("more and not same").select(F.col("later").alias("set"))
+    pairs = _candidates(_postings(documents, ranks, buckets, None), NEAREST, None)
+    pairs = pinned(pairs.withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("far", "earlier"))))
+    sets = _sets_of(documents, pairs)
+    matched = _matched(sets, pairs.where("place = 1"))
+    failed = pairs.join(matched.withColumnRenamed("set", "later"), "later", "left_anti")
+    matched = matched.union(_matched(sets, failed.where("place > 1")))
+    open_sets = failed.join(matched.withColumnRenamed("set", "later"), "later", "left_anti").where("more").select(F.col("later").alias("set")).distinct()
+    open_sets = pinned(open_sets)
     if not open_sets.isEmpty():
         open_bitmap = context.broadcast(id_bitmap(open_sets, "set"))
 
@@ -333,7 +341,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 
         words = context.broadcast(id_bitmap(documents.mapInArrow(prefixes, "word long"), "word"))
         again = pinned(_candidates(_postings(documents, ranks, buckets, words), None, open_bitmap))
-        matched = matched.union(_verified(documents, again).where("same").select(F.col("later").alias("set"))).distinct()
+        matched = matched.union(_matched(_sets_of(documents, again), again)).distinct()
     # A class goes whole if it matches an earlier one, else all but its first line.
     judged = classes.join(pinned(matched.withColumn("matched", F.lit(True))), "set", "left")
     some = judged.where("n > 1 or matched").select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
@@ -349,21 +357,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     gone = pinned(gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     touched = context.broadcast(id_bitmap(gone, "key"))
 
-    def rewritten(rows: DataFrame, where: str) -> DataFrame:
-        """`where`: "outside" the bitmap, texts pass as they are; "inside", only rows go on."""
-        schema = rows.schema.simpleString()[7:-1]
-
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                inside = in_bitmap(touched.value, batch.column("__key").to_numpy())
-                yield batch.filter(pa.array(inside if where == "inside" else ~inside))
-
-        return rows.mapInArrow(go, schema)
-
     rows = documents.withColumn("__key", id_key())
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    as_is = rewritten(rows, "outside").select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = rewritten(rows, "inside").join(gone.withColumnRenamed("key", "__key"), "__key", "left")
+    as_is = rows.where(~bitmap_filter(touched, "__key")).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    joined = rows.where(bitmap_filter(touched, "__key")).join(gone.withColumnRenamed("key", "__key"), "__key", "left")
     empty = F.array().cast("array<bigint>")
     joined = joined.withColumn("__gone", F.coalesce("gone", empty))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")

@@ -199,7 +199,7 @@ def brute_lines(texts):
     return out
 
 
-@pytest.mark.parametrize("nearest", [3, 1])
+@pytest.mark.parametrize("nearest", [8, 1])
 def test_lines_match_brute_force(spark, sf_dir, texts, nearest, monkeypatch):
     monkeypatch.setattr(line_dedup, "NEAREST", nearest)
     rng = np.random.default_rng(5)
