@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -117,3 +117,31 @@ NO_ID = -(2**63)
 
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def own_rows(documents: DataFrame) -> DataFrame:
+    """`documents` with __key (see `id_key`), __seq and __fresh: __key and __seq name one row.
+
+    __seq is 0 but for rows whose key (an id or a null one) occurs again: those are numbered by their
+    text's hash, and __fresh is a number of its own for each. Only these rows are shuffled and kept.
+    """
+    rows = documents.withColumn("__key", id_key())
+    clear = rows.withColumn("__seq", F.lit(0).cast("long")).withColumn("__fresh", F.lit(0).cast("long"))
+    again = pinned(rows.groupBy("__key").count().where("count > 1").select("__key"))
+    if again.isEmpty():
+        return clear
+    touched = documents.sparkSession.sparkContext.broadcast(id_bitmap(again, "__key"))
+    no_id = F.col("__key") == NO_ID
+    inside = rows.where(bitmap_filter(touched, "__key") | no_id).withColumn("__hash", F.xxhash64("text"))
+    twice = again.where(~no_id).withColumn("__twice", F.lit(True))
+    unsure = inside.where(~no_id).join(twice, "__key", "left").unionByName(inside.where(no_id).withColumn("__twice", F.lit(True)))
+    unsure = unsure.withColumn("__part", F.when(F.col("__twice"), F.shiftrightunsigned("__hash", 52)).otherwise(0))
+    unsure = unsure.withColumn("__fresh", F.monotonically_increasing_id())
+    # Numbers run on over parts of a key's rows, so that the rows of a frequent key are many tasks.
+    part = Window.partitionBy("__key", "__part")
+    unsure = pinned(unsure.withColumn("__at", F.row_number().over(part.orderBy("__hash", "__fresh")) - 1).drop("__hash", "__twice"))
+    sizes = unsure.groupBy("__key", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__part")) - F.col("__n")
+    numbered = unsure.join(sizes.select("__key", "__part", before.alias("__before")), ["__key", "__part"])
+    numbered = pinned(numbered.withColumn("__seq", F.col("__before") + F.col("__at")).select(*clear.columns))
+    return clear.where(~(bitmap_filter(touched, "__key") | no_id)).union(numbered)

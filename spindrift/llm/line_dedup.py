@@ -13,9 +13,9 @@ earlier partners the nearest by sketch is verified on the full word sets, if it
 `NEAREST`; a class that had more and none held is searched again among all its partners, so the result
 is exact.
 
-Sets and words are known by 64-bit hashes. A null text is empty; a null doc_id counts as one document,
-the first; rows with one id count as one document, the lines at one place as one line. The result has
-the rows of the input.
+Sets and words are known by 64-bit hashes. A null text is empty; a null doc_id comes before all others.
+Every row is a document of its own: rows with one id, or with none, come in order of their texts' hashes.
+The result has the rows of the input.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bitmap_filter, id_bitmap, id_key, in_bitmap, pinned, slices, table, utf8
+from spindrift.llm.common import bitmap_filter, id_bitmap, in_bitmap, own_rows, pinned, slices, table, utf8
 from spindrift.llm.textkernel import mix, span_hashes, word_bounds
 
 FEWEST = 5
@@ -46,13 +46,16 @@ FLUSH_BYTES = 24 << 20
 
 def _posting(words: int) -> np.dtype:
     size = "<u2" if words == SHORT_WORDS else "<u4"
-    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("line", "<u4"), ("doc", "<i8"), ("set", "<u8"), ("sketch", "<u8", (words,))])
+    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("line", "<u8"), ("doc", "<i8"), ("set", "<u8"), ("sketch", "<u8", (words,))])
 
 
 class Lines:
-    """The lines with at least FEWEST distinct words of a batch, and their sorted distinct words."""
+    """The lines with at least FEWEST distinct words of a batch, and their sorted distinct words.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> None:
+    `line` is the number of the row among those with its key, times 2^32, plus the line's number.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> None:
         starts, ends = word_bounds(data, offsets)
         hashes = span_hashes(data, starts, ends)
         bounds = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
@@ -76,7 +79,7 @@ class Lines:
         # A text's first line starts at its offset; empty texts share offsets with the next one.
         row = np.searchsorted(offsets, bounds[own], side="right") - 1
         head = np.searchsorted(bounds, offsets[row], side="left")
-        self.doc, self.line = docs[row], (own - head).astype(np.int64)
+        self.doc, self.line = docs[row], (rows[row] << 32) + (own - head).astype(np.int64)
         self._start()
 
     def _start(self) -> None:
@@ -124,7 +127,7 @@ class Lines:
 def _batches(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for part in slices(batch):
-            yield Lines(*utf8(part.column("text")), part.column("key").to_numpy())
+            yield Lines(*utf8(part.column("text")), part.column("key").to_numpy(), part.column("seq").to_numpy())
 
 
 def _survey(documents: DataFrame) -> DataFrame:
@@ -315,7 +318,7 @@ def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """key (see `id_key`) and line, from 0, of every line of `documents` (key, text) that goes."""
+    """key, seq and line, from 0, of every line of `documents` (key and seq as in `own_rows`, text) that goes."""
     context = documents.sparkSession.sparkContext
     survey = pinned(_survey(documents))
     lines = survey.where("block is null").select("set", "key", "line")
@@ -345,7 +348,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     # A class goes whole if it matches an earlier one, else all but its first line.
     judged = classes.join(pinned(matched.withColumn("matched", F.lit(True))), "set", "left")
     some = judged.where("n > 1 or matched").select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    return lines.join(some, "set").where("matched or struct(key, line) <> first").select("key", "line").distinct()
+    return lines.join(some, "set").where("matched or struct(key, line) <> first").select("key", F.shiftright("line", 32).alias("seq"), F.col("line").bitwiseAND(0xFFFFFFFF).alias("line"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -353,14 +356,14 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     n_lines and n_removed. A line's end goes with it."""
     context = documents.sparkSession.sparkContext
     names = documents.columns
-    gone = removed_lines(documents.select(id_key().alias("key"), "text"))
-    gone = pinned(gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone")))
+    rows = own_rows(documents)
+    gone = removed_lines(rows.select(F.col("__key").alias("key"), F.col("__seq").alias("seq"), "text"))
+    gone = pinned(gone.groupBy("key", "seq").agg(F.sort_array(F.collect_list("line")).alias("gone")))
     touched = context.broadcast(id_bitmap(gone, "key"))
 
-    rows = documents.withColumn("__key", id_key())
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     as_is = rows.where(~bitmap_filter(touched, "__key")).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = rows.where(bitmap_filter(touched, "__key")).join(gone.withColumnRenamed("key", "__key"), "__key", "left")
+    joined = rows.where(bitmap_filter(touched, "__key")).join(gone.withColumnRenamed("key", "__key").withColumnRenamed("seq", "__seq"), ["__key", "__seq"], "left")
     empty = F.array().cast("array<bigint>")
     joined = joined.withColumn("__gone", F.coalesce("gone", empty))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")

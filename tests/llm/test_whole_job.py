@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import lm_scoring
+from spindrift.llm import line_dedup, lm_scoring
 
 
 def test_lm_scores_do_not_depend_on_the_words_broadcast(spark):
@@ -14,3 +14,22 @@ def test_lm_scores_do_not_depend_on_the_words_broadcast(spark):
         for doc_id, r in whole.items():
             assert got[doc_id].score == pytest.approx(r.score, rel=1e-9) and got[doc_id].base_score == pytest.approx(r.base_score, rel=1e-9)
             assert got[doc_id].n_known == r.n_known
+
+
+A, B, C, D = ("one two three four five six", "red green blue black white grey", "sun moon star sky cloud rain", "oak elm ash fir yew box")
+
+
+def test_rows_without_id_lose_only_their_own_lines(spark):
+    texts = [f"{A}\nx", f"{D}\ny\n{B}", f"z\nz\n{A}"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
+    kept = [t for t, n in got if n == 0]
+    assert f"{D}\ny\n{B}" in kept and sum(t.count(A) for t, _ in got) == 1 and sum(n for _, n in got) == 1
+
+
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_copies_in_rows_of_one_id(spark, doc_id):
+    near = f"{A} seven eight nine ten"
+    docs = spark.createDataFrame([(doc_id, A), (doc_id, A), (doc_id, C), (doc_id, near), (doc_id, f"{near} more"), (9, B)], "doc_id long, text string")
+    got = [r.text for r in line_dedup.dedup_lines(docs).collect()]
+    assert len(got) == 6 and got.count("") == 2 and {A, C, B} <= set(got) and ({near, f"{near} more"} & set(got))
