@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing
-from spindrift.llm.common import DOCUMENT_COLUMNS, bitmap_filter, id_bitmap, id_key, pinned, table
+from spindrift.llm.common import DOCUMENT_COLUMNS, NO_ID, bitmap_filter, id_bitmap, own_rows, pinned, table
 
 #: A language is believed from this posterior probability.
 LEAST_SCORE = 0.5
@@ -37,18 +37,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 7): that of the smallest id.
 
-    Only texts whose id may be in question (a bitmap of ids) are shuffled, to be joined exactly.
+    Of rows that repeat an id the first is known by it, the others by new ids of their own; rows without
+    an id stay. Only texts whose id may be in question (a bitmap of ids) are shuffled, to be joined exactly.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    found = pinned(near_dedup.near_duplicates(docs))
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
-    touched = spark.sparkContext.broadcast(id_bitmap(gone.union(again), "gone_id"))
-
-    keyed = docs.withColumn("__key", id_key())
-    inside = bitmap_filter(touched, "__key")
-    rest = keyed.where(inside).drop("__key").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
-    return keyed.where(~inside).drop("__key").union(rest)
+    rows = own_rows(docs)
+    highest = rows.agg(F.max("__key").alias("key"), F.max("__fresh").alias("fresh")).first()
+    if highest.fresh and highest.key + highest.fresh + 1 >= 2**63:
+        raise ValueError("no ids are left for rows that repeat an id")
+    own = F.when(F.col("__seq") == 0, F.col("doc_id").cast("long")).otherwise(F.lit(highest.key or 0) + 1 + F.col("__fresh"))
+    rows = rows.withColumn("__id", F.when(F.col("doc_id").isNotNull(), own))
+    found = near_dedup.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"))
+    gone = pinned(found.where("not kept").select(F.col("doc_id").alias("gone_id")))
+    touched = spark.sparkContext.broadcast(id_bitmap(gone, "gone_id"))
+
+    inside = F.col("doc_id").isNotNull() & bitmap_filter(touched, "__place")
+    rows = rows.withColumn("__place", F.coalesce("__id", F.lit(NO_ID)))
+    rest = rows.where(inside).join(gone, F.col("__id") == F.col("gone_id"), "left_anti")
+    return rows.where(~inside).union(rest).select(*DOCUMENT_COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +34,10 @@ def test_copies_in_rows_of_one_id(spark, doc_id):
     docs = spark.createDataFrame([(doc_id, A), (doc_id, A), (doc_id, C), (doc_id, near), (doc_id, f"{near} more"), (9, B)], "doc_id long, text string")
     got = [r.text for r in line_dedup.dedup_lines(docs).collect()]
     assert len(got) == 6 and got.count("") == 2 and {A, C, B} <= set(got) and ({near, f"{near} more"} & set(got))
+
+
+def test_pipeline_keeps_rows_without_id_and_other_texts_of_an_id(spark):
+    rows = [(0, A), (0, A), (0, C), (None, B), (None, D), (5, f"{A}"), (6, "some other text of six words")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([("0", A), ("0", C), ("None", B), ("None", D), ("6", "some other text of six words")])
