@@ -6,8 +6,12 @@ were the empty text. Only the named columns of a table are read, so further colu
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,28 +31,79 @@ def fold(modulus: int, id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % modulus
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written as Parquet where every executor can reread it.
-
-    The files go to the shared folder that `spark.checkpoint.dir` names, so a lost executor loses
-    nothing. Only where no checkpoint folder is set (unit tests, one machine) a temporary one is.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names; a temporary one only on a single machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/pinned-{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spindrift-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written as Parquet where every executor can reread it, so that a lost
+    executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.pinned_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes what `pinned` wrote for `df`, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.pinned_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def release(*frames: DataFrame) -> None:
+    """Deletes what `pinned` wrote for `frames`, once nothing reads it any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.pinned_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so once the
+    driver's garbage is collected, which may else come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_held: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The one large object that a worker keeps between tasks, whatever operator made it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Drops what `held` keeps, and gives freed memory back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`work` of a `mapInArrow`, in a worker that keeps nothing of other operators before, and no freed
+    memory after."""
+
+    @functools.wraps(work)
+    def run(batches: Batches) -> Batches:
+        forget()
+        yield from work(batches)
+        forget()
+
+    return run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,21 +1,24 @@
 """Operator 6: remove lines that match an earlier line, by an exact set-similarity join.
 
-A line is the set of its words (A to Z lowered). A line of at least `FEWEST` distinct words goes if
-some earlier line (in order of doc_id, then line number) has a Jaccard similarity of at least 0.8 with
-it; shorter lines stay. Equal sets are one class, so copies cost nothing more.
+A line is the set of its words (A to Z lowered). A line of at least `fewest` distinct words (1 unless
+given) goes if some earlier line (in order of doc_id, then line number) has a Jaccard similarity of at
+least 0.8 with it; lines without words stay. Equal sets are one class, so copies cost nothing more.
 
 Between classes: words are ordered by rarity (by the counts of all distinct lines, in a table of fixed
-size), and each class is listed under the words of its prefix, unless no other class has them. Classes
-under one word are compared in order of length. Three filters come before any verification, none of
-which can lose a pair: length, position of the common word, and the number of differing bits between
-parity sketches of the sets, which the symmetric difference cannot be below. Of a class's remaining
-earlier partners the nearest by sketch is verified on the full word sets, if it fails the next up to
-`NEAREST`; a class that had more and none held is searched again among all its partners, so the result
-is exact.
-
-Sets and words are known by 64-bit hashes. A null text is empty; a null doc_id comes before all others.
-Every row is a document of its own: rows with one id, or with none, come in order of their texts' hashes.
-The result has the rows of the input.
+size), and each class is listed under the words of its prefix, unless no other class has them. A word
+that more than about `HOT_LINES` lines have is listed only together with a second such word, of a
+prefix longer by one: two lines whose first common word is that frequent share a second one there.
+Classes under one word are compared in order of length. Three filters come before any verification,
+none of which can lose a pair: length, position of the common word, and the number of differing bits
+between parity sketches of the sets, which the symmetric difference cannot be below. Of a class's
+remaining earlier partners the nearest by sketch is verified on the full word sets, if it fails some
+next ones; a class that had more and none held is searched again among all its partners, so the
+result is exact.
+
+Words are known by 52-bit, sets by 64-bit hashes. A null text is empty; a null doc_id comes before all
+others. Every row is a document of its own: rows with one id, or with none, come in order of their
+texts' hashes. The result has the rows of the input. A text of any length is one row's work; columns
+beside doc_id and text pass through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,73 +27,92 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bitmap_filter, id_bitmap, in_bitmap, own_rows, pinned, slices, table, utf8
+from spindrift.llm.common import NO_ID, bitmap_filter, frugal, id_bitmap, in_bitmap, own_rows, pinned, release, slices, table, tidy, utf8
 from spindrift.llm.textkernel import mix, span_hashes, word_bounds
 
-FEWEST = 5
+FEWEST = 1
 #: The similarity as a fraction.
 SAME, OF = 4, 5
-NEAREST = 8
-SKETCH_BITS, BLOCK_BITS = 24, 14
-#: Lines up to SHORT_MOST words use short parity sketches, those from LONG_LEAST long ones; a pair
-#: within the length filter is always in one of the two kinds.
-SHORT_MOST, LONG_LEAST = 200, 160
-SHORT_WORDS, LONG_WORDS = 2, 16
+#: Lines below this many distinct words match none but equal sets.
+JOINED = 4
+#: Partners that are passed on to verification: few where the nearest is surely one, else more.
+NEAREST, IF_NEAR = 64, 4
+CELL_BITS, BLOCK_BITS = 24, 14
+WORD_BITS = 52
+WORD = np.uint64((1 << WORD_BITS) - 1)
+#: Kinds of postings by number of words: from, to, words of the parity sketch. A pair within the length
+#: filter is always in one kind together.
+KINDS = ((JOINED, 64, 1), (52, 250, 3), (200, 1 << 31, 16))
+HOT_LINES = 1 << 16
 POSTINGS_A_BUCKET = 250_000
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
+RECENT = 1 << 18
+#: Lines sorted at once: a line's number within such a block takes twelve bits of a sort key.
+SORTED = 1 << 12
 
 
-def _posting(words: int) -> np.dtype:
-    size = "<u2" if words == SHORT_WORDS else "<u4"
-    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("line", "<u8"), ("doc", "<i8"), ("set", "<u8"), ("sketch", "<u8", (words,))])
+def rank_of(count: np.ndarray | int) -> np.ndarray:
+    """0, 1, or a rank that grows with the count, in one byte."""
+    return np.where(np.asarray(count) < 2, count, np.minimum(255, 2 + np.log2(np.maximum(count, 2)) * 6)).astype(np.uint8)
+
+
+def _posting(kind: int) -> np.dtype:
+    size = "<u4" if kind else "u1"
+    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("set", "<u8"), ("order", "<u8"), ("sketch", "<u8", (KINDS[kind][2],))])
+
+
+def _multi_bit(kind: int) -> int:
+    """Marks, in `at`, classes of several lines."""
+    return 1 << 31 if kind else 1 << 7
 
 
 class Lines:
-    """The lines with at least FEWEST distinct words of a batch, and their sorted distinct words.
+    """The lines with at least `fewest` distinct words of a batch, and their sorted distinct words.
 
     `line` is the number of the row among those with its key, times 2^32, plus the line's number.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, rows: np.ndarray, fewest: int = 1) -> None:
         starts, ends = word_bounds(data, offsets)
-        hashes = span_hashes(data, starts, ends)
+        words = span_hashes(data, starts, ends) >> np.uint64(64 - WORD_BITS)
         bounds = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
         bounds = bounds[bounds < max(1, len(data))]
-        line = np.searchsorted(bounds, starts, side="right") - 1
-        order = np.lexsort((hashes, line))
-        line, hashes = line[order], hashes[order]
+        first = np.searchsorted(starts, bounds)
+        line = np.repeat(np.arange(len(bounds)), np.diff(np.append(first, len(starts))))
+        words = _sorted(line, words)
         new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-        line, hashes = line[new], hashes[new]
+        new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
+        line, words = line[new], words[new]
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(line)))
-        if len(first):
-            sets = mix(np.add.reduceat(mix(hashes), first) + n.astype(np.uint64))
-        else:
-            sets = np.zeros(0, np.uint64)
-        wide = n >= FEWEST
-        keep = np.repeat(wide, n)
-        self.hashes, self.n, self.sets = hashes[keep], n[wide], sets[wide]
+        sets = mix(np.add.reduceat(mix(words), first) + n.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+        wide = n >= fewest
+        self.words, self.n, self.sets = words[np.repeat(wide, n)], n[wide], sets[wide]
         own = line[first[wide]]
         # A text's first line starts at its offset; empty texts share offsets with the next one.
         row = np.searchsorted(offsets, bounds[own], side="right") - 1
         head = np.searchsorted(bounds, offsets[row], side="left")
-        self.doc, self.line = docs[row], (rows[row] << 32) + (own - head).astype(np.int64)
+        self.doc, self.seq, self.number = docs[row], rows[row], (own - head).astype(np.int64)
         self._start()
 
     def _start(self) -> None:
         self.first = np.cumsum(self.n) - self.n
         self.owner = np.repeat(np.arange(len(self.n)), self.n)
 
+    @property
+    def line(self) -> np.ndarray:
+        return (self.seq << 32) + self.number
+
     def take(self, which: np.ndarray) -> Lines:
         """Only the lines at `which` (a mask)."""
         out = object.__new__(Lines)
-        out.hashes, out.n, out.sets = self.hashes[np.repeat(which, self.n)], self.n[which], self.sets[which]
-        out.doc, out.line = self.doc[which], self.line[which]
+        out.words, out.n, out.sets = self.words[np.repeat(which, self.n)], self.n[which], self.sets[which]
+        out.doc, out.seq, out.number = self.doc[which], self.seq[which], self.number[which]
         out._start()
         return out
 
@@ -103,146 +125,225 @@ class Lines:
         which[order[first]] = True
         return self.take(which)
 
-    def by_rarity(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each line from the rarest on, and their position."""
-        order = np.lexsort((self.hashes, rank[self.hashes >> np.uint64(64 - SKETCH_BITS)], self.owner))
-        return self.hashes[order], np.arange(len(order)) - np.repeat(self.first, self.n)
-
-    def prefix(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of the prefixes that more than one class may have: word, owner, position."""
-        words, at = self.by_rarity(rank)
-        length = self.n - -(-SAME * self.n // OF) + 1
-        go = (at < length[self.owner]) & (rank[words >> np.uint64(64 - SKETCH_BITS)] > 1)
-        return words[go], self.owner[go], at[go]
+    def prefix(self, rank: np.ndarray, hot_rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, or hashes of two, of the prefixes that more than one class may have: word, owner, position."""
+        key = rank[self.words >> np.uint64(WORD_BITS - CELL_BITS)].astype(np.uint64) << np.uint64(44) | np.arange(len(self.words), dtype=np.uint64)
+        key = _sorted(self.owner, key)
+        words, ranks = self.words[key & np.uint64((1 << 44) - 1)], key >> np.uint64(44)
+        at = np.arange(len(words)) - np.repeat(self.first, self.n)
+        length = (self.n - -(-SAME * self.n // OF) + 1)[self.owner]
+        single = np.flatnonzero((at < length) & (ranks > 1) & (ranks < hot_rank))
+        found = [(words[single], self.owner[single], at[single])]
+        hot = np.flatnonzero((at <= length) & (ranks >= hot_rank))
+        step = 1
+        while step < len(hot):
+            a, b = hot[:-step], hot[step:]
+            same = self.owner[a] == self.owner[b]
+            if not same.any():
+                break
+            a, b = a[same], b[same]
+            # With two common words known, one more may be in common than lie from the second on.
+            found.append((mix(words[a] * np.uint64(0x9E3779B97F4A7C15) + words[b]) >> np.uint64(64 - WORD_BITS), self.owner[b], at[b] - 1))
+            step += 1
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def sketches(self, words: int) -> np.ndarray:
         """Parity of how many of a line's words fall on each of 64 x words bits."""
-        out = np.zeros((len(self.n), words), np.uint64)
-        spot = mix(self.hashes ^ np.uint64(0x5CE7C4))
+        spot = mix(self.words ^ np.uint64(0x5CE7C4))
         bit = np.uint64(1) << (spot & np.uint64(63))
-        np.bitwise_xor.at(out, (self.owner, ((spot >> np.uint64(6)) % np.uint64(words)).astype(np.int64)), bit)
+        out = np.empty((len(self.n), words), np.uint64)
+        column = (spot >> np.uint64(6)) % np.uint64(words) if words > 1 else None
+        for w in range(words):
+            own = bit if column is None else np.where(column == w, bit, np.uint64(0))
+            out[:, w] = np.bitwise_xor.reduceat(own, self.first) if len(self.n) else 0
+        return out
+
+
+def _sorted(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """`value` (below 2^52) in order within each group; `group` ascends."""
+    key = (group.astype(np.uint64) & np.uint64(SORTED - 1)) << np.uint64(WORD_BITS) | value
+    edge = np.searchsorted(group, np.arange(0, (int(group[-1]) if len(group) else 0) + SORTED, SORTED))
+    for a, b in zip(edge[:-1], edge[1:]):
+        key[a:b].sort()
+    key[edge[-1] :].sort()
+    return key & WORD
+
+
+class Recent:
+    """Whether a set was met lately: a table of fixed size that forgets, so a class may pass again."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros(RECENT, np.uint64)
+
+    def new(self, sets: np.ndarray) -> np.ndarray:
+        place = (sets % np.uint64(RECENT)).astype(np.int64)
+        out = self.table[place] != sets
+        self.table[place] = sets
         return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
+def _batches(batches: Iterator[pa.RecordBatch], fewest: int, docs=None):
     for batch in batches:
+        if docs is not None:
+            batch = batch.filter(pa.array(docs(batch.column("key").to_numpy())))
         for part in slices(batch):
-            yield Lines(*utf8(part.column("text")), part.column("key").to_numpy(), part.column("seq").to_numpy())
+            yield Lines(*utf8(part.column("text")), part.column("key").to_numpy(), part.column("seq").to_numpy(), fewest)
 
 
-def _survey(documents: DataFrame) -> DataFrame:
+def _survey(documents: DataFrame, fewest: int) -> DataFrame:
     """block null: set, key, line of every line; else counts of distinct lines' words by hash block."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # saturating: ranks are logarithmic
-        seen: set[int] = set()
-        for lines in _batches(batches):
+        counts = np.zeros(1 << CELL_BITS, np.uint8)  # saturating: ranks are logarithmic
+        recent = Recent()
+        for lines in _batches(batches, fewest):
             k = len(lines.n)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array(lines.sets.view(np.int64)), pa.array(lines.doc), pa.array(lines.line), pa.nulls(k, pa.binary())], names=["block", "set", "key", "line", "counts"])
-            own = lines.distinct()
-            new = np.fromiter((x not in seen for x in own.sets.tolist()), bool, len(own.sets))
-            seen.update(own.sets[new].tolist())
-            at, n = np.unique(own.hashes[np.repeat(new, own.n)] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            at = at.astype(np.int64)
-            counts[at] = np.minimum(255, counts[at] + n)
+            own = lines.take(lines.n >= JOINED).distinct()
+            cells = np.sort((own.words[np.repeat(recent.new(own.sets), own.n)] >> np.uint64(WORD_BITS - CELL_BITS)).astype(np.uint32))
+            edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+            at = cells[edge]
+            counts[at] = np.minimum(255, counts[at] + np.diff(np.append(edge, len(cells))))
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         some = np.flatnonzero(blocks.any(axis=1))
-        k = len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in some], pa.binary())], names=["block", "set", "key", "line", "counts"])
+        for at in np.array_split(some, max(1, len(some) // 64)):
+            k = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in at], pa.binary())], names=["block", "set", "key", "line", "counts"])
 
-    return documents.mapInArrow(survey, "block int, set long, key long, line long, counts binary")
+    return documents.mapInArrow(frugal(survey), "block int, set long, key long, line long, counts binary")
 
 
 def _word_ranks(survey: DataFrame) -> np.ndarray:
-    """By the top SKETCH_BITS bits of a word's hash: 0, 1, or a rank that grows with its count (16 MB)."""
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
+    """By the top CELL_BITS bits of a word's hash: `rank_of` its count (16 MB)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums of a task are at most two bytes a cell; a count beyond that is as frequent as can be.
+        total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
+        for batch in batches:
+            for block, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                own = total[block] + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32)
+                total[block] = np.minimum(own, 65_535)
+        some = np.flatnonzero(total.any(axis=1))
+        for at in np.array_split(some, max(1, len(some) // 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(total[i].tobytes(), 1) for i in at], pa.binary())], names=["block", "counts"])
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint8)
-        rank = np.where(total < 2, total, np.minimum(255, 2 + np.log2(np.maximum(total, 2)) * 6))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([rank.astype(np.uint8).tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x), np.uint16)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([rank_of(total).tobytes()], pa.binary())})
 
-    found = survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, ranks binary")
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    parts = survey.where("block is not null").select("block", "counts").mapInArrow(frugal(add), "block int, counts binary")
+    found = parts.groupBy("block").applyInArrow(merge, "block int, ranks binary")
+    out = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for r in found.collect():
         out[r.block] = np.frombuffer(r.ranks, np.uint8)
     return out.ravel()
 
 
-def _postings(documents: DataFrame, ranks, buckets: int, wanted) -> DataFrame:
-    """bucket and kind with packed postings; `wanted` is None or the bitmap of words to list under."""
+class Order:
+    """A 64-bit code that never falls from a line to a later one; equal codes may belong to either order."""
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, bitmap = ranks.value, wanted.value if wanted is not None else None
-        held: dict[tuple[int, int], list[bytes]] = {}
-        size = 0
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.shift = low, max(0, (high - low + 1).bit_length() - 43)
+
+    def doc(self, key: np.ndarray) -> np.ndarray:
+        code = (key.view(np.uint64) - np.uint64(self.low & (2**64 - 1)) >> np.uint64(self.shift)) + np.uint64(1)
+        return np.where(key == NO_ID, np.uint64(0), code)
 
-        def rows() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())], names=["bucket", "kind", "postings"])
+    def code(self, lines: Lines) -> np.ndarray:
+        within = np.minimum((lines.seq << 12) + np.minimum(lines.number, 4095), (1 << 20) - 1)
+        return self.doc(lines.doc) << np.uint64(20) | within.astype(np.uint64)
 
-        for every in _batches(batches):
-            every = every.distinct()
-            for kind, words, which in ((0, SHORT_WORDS, every.n <= SHORT_MOST), (1, LONG_WORDS, every.n >= LONG_LEAST)):
-                lines = every.take(which)
-                word, owner, at = lines.prefix(rank)
+
+def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=None) -> DataFrame:
+    """bucket and kind with packed postings; `wanted`, if given, is a bitmap of the words to list under."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hot_rank, multi, order = shared.value
+        bitmap = wanted.value if wanted is not None else None
+        recent = Recent()
+        lists: list[list[np.ndarray]] = [[] for _ in KINDS]
+        places: list[list[np.ndarray]] = [[] for _ in KINDS]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for kind in range(len(KINDS)):
+                if lists[kind]:
+                    bucket = np.concatenate(places[kind])
+                    by = np.argsort(bucket, kind="stable")
+                    bucket, p = bucket[by], np.concatenate(lists[kind])[by]
+                    lists[kind].clear()
+                    places[kind].clear()
+                    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                    ends = np.append(edge, len(p)).astype(np.int32) * p.itemsize
+                    packed = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(p.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(np.full(len(edge), kind, np.int32)), packed], names=["bucket", "kind", "postings"])
+
+        size = 0
+        for every in _batches(batches, fewest):
+            every = every.take(every.n >= JOINED).distinct()
+            every = every.take(recent.new(every.sets))
+            for kind, (least, most, width) in enumerate(KINDS):
+                lines = every.take((every.n >= least) & (every.n <= most))
+                word, owner, at = lines.prefix(rank, hot_rank)
                 if bitmap is not None:
                     go = in_bitmap(bitmap, word)
                     word, owner, at = word[go], owner[go], at[go]
                 if not len(word):
                     continue
-                p = np.empty(len(word), _posting(words))
-                p["token"], p["n"], p["at"], p["line"] = word & np.uint64(0xFFFFFFFF), lines.n[owner], at, lines.line[owner]
-                p["doc"], p["set"], p["sketch"] = lines.doc[owner], lines.sets[owner], lines.sketches(words)[owner]
-                bucket = ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                p, bucket = p[order], bucket[order]
-                edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(edge, np.append(edge[1:], len(p))):
-                    held.setdefault((int(bucket[a]), kind), []).append(p[a:b].tobytes())
+                p = np.empty(len(word), _posting(kind))
+                p["token"], p["n"] = word & np.uint64(0xFFFFFFFF), lines.n[owner]
+                p["at"] = at + np.where(in_bitmap(multi, lines.sets), _multi_bit(kind), 0)[owner]
+                p["set"], p["order"], p["sketch"] = lines.sets[owner], order.code(lines)[owner], lines.sketches(width)[owner]
+                lists[kind].append(p)
+                # The bits above the token's: bucket and token together tell words apart as well as their hash.
+                places[kind].append((mix(word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
                 size += p.nbytes
             if size > FLUSH_BYTES:
-                yield rows()
-                held.clear()
+                yield from rows()
                 size = 0
-        if held:
-            yield rows()
+        yield from rows()
 
-    return documents.mapInArrow(post, "bucket int, kind int, postings binary")
+    return documents.mapInArrow(frugal(post), "bucket int, kind int, postings binary")
 
 
-def nearest_earlier(p: np.ndarray, nearest: int | None, later_in: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Sets, an earlier partner that passes all filters, its sketch distance, and whether there are more.
+PAIRS = "later long, earlier long, far int, more boolean, sure boolean, later_at long, earlier_at long"
 
-    `nearest` None gives all partners; `later_in` limits the later sets to a bitmap.
-    """
+
+def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, later_in: np.ndarray | None) -> list[np.ndarray]:
+    """The columns PAIRS of sets and an earlier partner that passes all filters. `more`: the set has others
+    still; not `sure`: the partner may also be the later one (then the reverse is given, too). `nearest`: how many
+    partners a set gets where the nearest is near, and else; None gives all. `later_in` limits the later sets to a bitmap."""
     # One posting for each word and set: the earliest line's.
-    order = np.lexsort((p["line"], p["doc"], p["set"], p["token"]))
-    p = p[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p["token"][1:] != p["token"][:-1]) | (p["set"][1:] != p["set"][:-1])
-    p = p[new]
-    p = p[np.lexsort((p["n"], p["token"]))]
-    token, n, at, sketch = p["token"], p["n"].astype(np.int64), p["at"].astype(np.int64), p["sketch"]
-    found: list[tuple[np.ndarray, ...]] = []
+    same = mix(p["set"] + p["token"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    by = np.argsort(same)
+    if (same[by][1:] == same[by][:-1]).any():
+        by = np.lexsort((p["order"], p["set"], p["token"]))
+        token, own = p["token"][by], p["set"][by]
+        p = p[by[np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1]))]]
+    p = p[np.argsort(p["token"].astype(np.uint64) << np.uint64(32) | p["n"].astype(np.uint64))]
+    bit = _multi_bit(kind)
+    token, sketch, order, sets = (np.ascontiguousarray(p[x]) for x in ("token", "sketch", "order", "set"))
+    n = p["n"].astype(np.int64)
+    at, multi = (p["at"] & (bit - 1)).astype(np.int64), (p["at"] & bit) > 0
+    found: list[list[np.ndarray]] = []
     kept = 0
 
-    def reduce(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        later, earlier, far, more = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((earlier, far, later))
-        later, earlier, far, more = later[order], earlier[order], far[order], more[order]
-        new = np.ones(len(later), bool)
-        new[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
-        later, earlier, far, more = later[new], earlier[new], far[new], more[new]
-        if nearest is None or not len(later):
-            return later, earlier, far, more
+    def reduce(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
+        rows = [np.concatenate(x) for x in zip(*rows)]
+        by = np.lexsort((rows[1], rows[2], rows[0]))
+        later, earlier = rows[0][by], rows[1][by]
+        rows = [x[by[np.append(True, (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1]))]] for x in rows]
+        if nearest is None or not len(rows[0]):
+            return rows
+        later, near, more = rows[0], rows[7], rows[3]
         first = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
         count = np.diff(np.append(first, len(later)))
+        most = np.where(near[first], *nearest)
         place = np.arange(len(later)) - np.repeat(first, count)
-        more = np.repeat(np.logical_or.reduceat(more, first) | (count > nearest), count)
-        go = place < nearest
-        return later[go], earlier[go], far[go], more[go]
+        rows[3] = np.repeat(np.logical_or.reduceat(more, first) | (count > most), count)
+        go = place < np.repeat(most, count)
+        return [x[go] for x in rows]
 
     left = np.arange(max(0, len(p) - 1))
     step = 1
@@ -254,58 +355,79 @@ def nearest_earlier(p: np.ndarray, nearest: int | None, later_in: np.ndarray | N
         both = n[left] + n[right]
         least = -(-SAME * both // (SAME + OF))  # of common words
         ok = np.minimum(n[left] - at[left], n[right] - at[right]) >= least
-        a, b = left[ok], right[ok]
-        far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-        ok = far <= (both - 2 * least)[ok]
-        a, b, far = a[ok], b[ok], far[ok]
+        a, b, most = left[ok], right[ok], (both - 2 * least)[ok]
+        far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int32)
+        ok = (far <= most) & (sets[a] != sets[b])
+        a, b, far, most = a[ok], b[ok], far[ok], most[ok]
         if len(a):
-            first = (p["doc"][a] < p["doc"][b]) | ((p["doc"][a] == p["doc"][b]) & (p["line"][a] < p["line"][b]))
-            later, earlier = np.where(first, p["set"][b], p["set"][a]), np.where(first, p["set"][a], p["set"][b])
+            swap = order[a] > order[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            sure = (order[a] < order[b]) & ~multi[b]
+            u = np.flatnonzero(~sure)
+            earlier, later = np.concatenate([a, b[u]]), np.concatenate([b, a[u]])
+            far, most, sure = (np.concatenate([x, x[u]]) for x in (far, most, sure))
             if later_in is not None:
-                go = in_bitmap(later_in, later)
-                later, earlier, far = later[go], earlier[go], far[go]
-            found.append((later, earlier, far, np.zeros(len(later), bool)))
-            kept += len(later)
-            if nearest is not None and kept > 2_000_000:
+                go = in_bitmap(later_in, sets[later])
+                earlier, later, far, most, sure = (x[go] for x in (earlier, later, far, most, sure))
+            if len(far):
+                found.append([sets[later], sets[earlier], far, np.zeros(len(far), bool), sure, order[later], order[earlier], sure & (2 * far <= most)])
+            kept += len(far)
+            if nearest is not None and kept > 1_000_000:
                 found = [reduce(found)]
                 kept = len(found[0][0])
         step += 1
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return reduce(found)
+        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, bool, np.uint64, np.uint64)]
+    return reduce(found)[:7]
 
 
-def _candidates(postings: DataFrame, nearest: int | None, later_in) -> DataFrame:
-    """later, earlier, far, more: distinct pairs of sets to verify."""
+def _candidates(postings: DataFrame, nearest: tuple[int, int] | None, later_in=None) -> DataFrame:
+    """PAIRS: distinct pairs of sets to verify."""
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
-        words = LONG_WORDS if key[1].as_py() else SHORT_WORDS
-        p = np.frombuffer(b"".join(t.column("postings").to_pylist()), _posting(words))
-        later, earlier, far, more = nearest_earlier(p, nearest, later_in.value if later_in is not None else None)
-        return pa.table({"later": later.view(np.int64), "earlier": earlier.view(np.int64), "far": far, "more": more})
+        kind = key[1].as_py()
+        p = np.concatenate([utf8(x)[0] for x in t.column("postings").chunks]).view(_posting(kind))
+        later, earlier, far, more, sure, later_at, earlier_at = nearest_earlier(p, kind, nearest, later_in.value if later_in is not None else None)
+        signed = [x.view(np.int64) for x in (later, earlier, later_at, earlier_at)]
+        return pa.table({"later": signed[0], "earlier": signed[1], "far": far, "more": more, "sure": sure, "later_at": signed[2], "earlier_at": signed[3]})
+
+    found = postings.groupBy("bucket", "kind").applyInArrow(compare, PAIRS)
+    least = lambda x: F.min(x).alias(x)
+    return found.groupBy("later", "earlier").agg(least("far"), F.bool_or("more").alias("more"), F.bool_or("sure").alias("sure"), least("later_at"), least("earlier_at"))
 
-    found = postings.groupBy("bucket", "kind").applyInArrow(compare, "later long, earlier long, far long, more boolean")
-    return found.groupBy("later", "earlier").agg(F.min("far").alias("far"), F.bool_or("more").alias("more"))
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    ends = [pairs.select(F.col(x).alias("set"), F.shiftrightunsigned(f"{x}_at", 20).alias("doc")) for x in ("later", "earlier")]
+    return ends[0].union(ends[1])
 
-def _word_sets(documents: DataFrame, wanted) -> DataFrame:
-    """set and words (array of hashes) of the lines whose set is in a bitmap."""
+
+def _directed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """`pairs` without those whose partner is the later of the two after all."""
+    unsure = pairs.where("not sure")
+    ends = pairs.sparkSession.sparkContext.broadcast(id_bitmap(_ends(unsure), "set"))
+    few = pinned(classes.where(bitmap_filter(ends, "set")).select("set", "first"))
+    first = lambda x: few.select(F.col("set").alias(x), F.col("first").alias(f"{x}_first"))
+    known = unsure.join(first("later"), "later").join(first("earlier"), "earlier").where("earlier_first < later_first")
+    return pairs.where("sure").union(known.select(pairs.columns))
+
+
+def _word_sets(documents: DataFrame, pairs: DataFrame, order: Order, fewest: int) -> DataFrame:
+    """set and words (array of hashes) of the sets in `pairs`; only documents that posted one are read."""
+    context = documents.sparkSession.sparkContext
+    ends = _ends(pairs)
+    shared = context.broadcast((id_bitmap(ends, "set"), id_bitmap(ends, "doc"), order))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value
-        for lines in _batches(batches):
-            lines = lines.distinct()
-            lines = lines.take(in_bitmap(bitmap, lines.sets))
+        sets, docs, order = shared.value
+        recent = Recent()
+        for lines in _batches(batches, fewest, lambda key: in_bitmap(docs, order.doc(key))):
+            lines = lines.take((lines.n >= JOINED) & in_bitmap(sets, lines.sets)).distinct()
+            lines = lines.take(recent.new(lines.sets))
             bounds = np.append(0, np.cumsum(lines.n)).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.hashes.view(np.int64)))
+            words = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(lines.sets.view(np.int64)), words], names=["set", "words"])
 
-    return documents.mapInArrow(emit, "set long, words array<long>").groupBy("set").agg(F.first("words").alias("words"))
-
-
-def _sets_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("later").alias("set")).union(pairs.select(F.col("earlier").alias("set")))
-    return pinned(_word_sets(documents, documents.sparkSession.sparkContext.broadcast(id_bitmap(ends, "set"))))
+    return pinned(documents.mapInArrow(frugal(emit), "set long, words array<long>").groupBy("set").agg(F.first("words").alias("words")))
 
 
 def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -317,57 +439,98 @@ def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pinned(same.select(F.col("later").alias("set")).distinct())
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
-    """key, seq and line, from 0, of every line of `documents` (key and seq as in `own_rows`, text) that goes."""
-    context = documents.sparkSession.sparkContext
-    survey = pinned(_survey(documents))
-    lines = survey.where("block is null").select("set", "key", "line")
-    classes = pinned(lines.groupBy("set").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")))
-    ranks = context.broadcast(_word_ranks(survey))
+def _matches(documents: DataFrame, survey: DataFrame, classes: DataFrame, fewest: int) -> DataFrame:
+    """set of every class that an earlier class matches."""
+    spark = documents.sparkSession
+    context = spark.sparkContext
+    ends = classes.where(F.col("first.key") != NO_ID).agg(F.min("first.key").alias("low"), F.max("first.key").alias("high")).first()
+    order = Order(ends.low or 0, ends.high or 0)
+    multi = id_bitmap(classes.where("n > 1"), "set")
+    shared = context.broadcast((_word_ranks(survey), int(rank_of(HOT_LINES)), multi, order))
     buckets = max(8, min(1 << 20, -(-classes.count() * 8 // POSTINGS_A_BUCKET)))
 
-    pairs = _candidates(_postings(documents, ranks, buckets, None), NEAREST, None)
+    found = pinned(_candidates(_postings(documents, shared, buckets, fewest), (IF_NEAR, NEAREST)))
+    tidy(spark)
+    pairs = _directed(found, classes)
     pairs = pinned(pairs.withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("far", "earlier"))))
-    sets = _sets_of(documents, pairs)
+    sets = _word_sets(documents, pairs, order, fewest)
     matched = _matched(sets, pairs.where("place = 1"))
     failed = pairs.join(matched.withColumnRenamed("set", "later"), "later", "left_anti")
     matched = matched.union(_matched(sets, failed.where("place > 1")))
-    open_sets = failed.join(matched.withColumnRenamed("set", "later"), "later", "left_anti").where("more").select(F.col("later").alias("set")).distinct()
-    open_sets = pinned(open_sets)
+    # `more` is told by the pairs as found: all partners that were passed on may have been later ones.
+    more = found.where("more").select("later").distinct()
+    open_sets = pinned(more.join(matched.withColumnRenamed("set", "later"), "later", "left_anti").select(F.col("later").alias("set")))
     if not open_sets.isEmpty():
         open_bitmap = context.broadcast(id_bitmap(open_sets, "set"))
+        again = _postings(documents, shared, buckets, fewest, context.broadcast(_prefix_words(sets, open_bitmap, shared)))
+        again = pinned(_directed(pinned(_candidates(again, None, open_bitmap)), classes))
+        matched = matched.union(_matched(_word_sets(documents, again, order, fewest), again)).distinct()
+    return pinned(matched)
 
-        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for own in _batches(batches):
-                own = own.take(in_bitmap(open_bitmap.value, own.sets))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own.prefix(ranks.value)[0]).view(np.int64))], names=["word"])
 
-        words = context.broadcast(id_bitmap(documents.mapInArrow(prefixes, "word long"), "word"))
-        again = pinned(_candidates(_postings(documents, ranks, buckets, words), None, open_bitmap))
-        matched = matched.union(_matched(_sets_of(documents, again), again)).distinct()
-    # A class goes whole if it matches an earlier one, else all but its first line.
-    judged = classes.join(pinned(matched.withColumn("matched", F.lit(True))), "set", "left")
-    some = judged.where("n > 1 or matched").select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    return lines.join(some, "set").where("matched or struct(key, line) <> first").select("key", F.shiftright("line", 32).alias("seq"), F.col("line").bitwiseAND(0xFFFFFFFF).alias("line"))
+def _prefix_words(sets: DataFrame, open_bitmap, shared) -> np.ndarray:
+    """A bitmap of the words that the sets in `open_bitmap` are listed under."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hot_rank = shared.value[:2]
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(open_bitmap.value, batch.column("set").to_numpy())))
+            own = object.__new__(Lines)
+            own.n = np.diff(batch.column("words").offsets.to_numpy()).astype(np.int64)
+            own.words = batch.column("words").flatten().to_numpy().view(np.uint64)
+            own._start()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(own.prefix(rank, hot_rank)[0]).view(np.int64))], names=["word"])
+
+    return id_bitmap(sets.mapInArrow(frugal(prefixes), "word long"), "word")
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def removed_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
+    """key, seq and line, from 0, of every line of `documents` (key and seq as in `own_rows`, text) that goes."""
+    survey = pinned(_survey(documents, fewest))
+    lines = survey.where("block is null").select("set", "key", "line")
+    classes = pinned(lines.groupBy("set").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")))
+    matched = _matches(documents, survey, classes, fewest)
+    tidy(documents.sparkSession)
+    # A class goes whole if it matches an earlier one, else all but its first line.
+    judged = classes.join(matched.withColumn("matched", F.lit(True)), "set", "left")
+    some = pinned(judged.where("n > 1 or matched").select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched")))
+    touched = documents.sparkSession.sparkContext.broadcast(id_bitmap(some, "set"))
+    gone = lines.where(bitmap_filter(touched, "set")).join(some, "set").where("matched or struct(key, line) <> first")
+    out = pinned(gone.select("key", F.shiftright("line", 32).alias("seq"), F.col("line").bitwiseAND(0xFFFFFFFF).alias("line")))
+    release(survey, classes, matched, some)
+    return out
+
+
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text without the lines whose numbers are given."""
+    out = []
+    for own, numbers in zip(text, gone):
+        if numbers is not None and len(numbers):
+            left = np.ones(own.count("\n") + 1, bool)
+            left[numbers] = False
+            own = "\n".join([x for x, stays in zip(own.split("\n"), left.tolist()) if stays])
+        out.append(own)
+    return pd.Series(out, dtype=object)
+
+
+def dedup_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """The rows of `documents` (doc_id, text and any others) without removed lines in the text, with
     n_lines and n_removed. A line's end goes with it."""
-    context = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
     names = documents.columns
     rows = own_rows(documents)
-    gone = removed_lines(rows.select(F.col("__key").alias("key"), F.col("__seq").alias("seq"), "text"))
-    gone = pinned(gone.groupBy("key", "seq").agg(F.sort_array(F.collect_list("line")).alias("gone")))
-    touched = context.broadcast(id_bitmap(gone, "key"))
+    removed = removed_lines(rows.select(F.col("__key").alias("key"), F.col("__seq").alias("seq"), "text"), fewest)
+    gone = pinned(removed.groupBy(F.col("key").alias("__key"), F.col("seq").alias("__seq")).agg(F.collect_list("line").alias("__gone")))
+    release(removed)
+    tidy(spark)
+    touched = spark.sparkContext.broadcast(id_bitmap(gone, "__key"))
 
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     as_is = rows.where(~bitmap_filter(touched, "__key")).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = rows.where(bitmap_filter(touched, "__key")).join(gone.withColumnRenamed("key", "__key").withColumnRenamed("seq", "__seq"), ["__key", "__seq"], "left")
-    empty = F.array().cast("array<bigint>")
-    joined = joined.withColumn("__gone", F.coalesce("gone", empty))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    changed = joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"))
+    joined = rows.where(bitmap_filter(touched, "__key")).join(gone, ["__key", "__seq"], "left")
+    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__gone"))
+    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    changed = joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
     return as_is.union(changed)
 
 

@@ -179,29 +179,31 @@ def test_mixing_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in names)
 
 
-def brute_lines(texts):
+def brute_lines(texts, fewest=1):
     seen, where, out = [], {}, {}
     for doc_id in sorted(texts):
         kept = []
         for line in texts[doc_id].split("\n"):
             own = frozenset(line.encode().lower().split())
             near = own in where
-            if len(own) >= 5 and not near:
+            if len(own) >= fewest and not near:
                 shared = Counter(i for w in own for i in where.get(w, ()))
                 near = any(5 * n >= 4 * (len(own) + len(seen[i]) - n) for i, n in shared.items())
                 where[own] = ()
                 for w in own:
                     where.setdefault(w, []).append(len(seen))
                 seen.append(own)
-            if len(own) < 5 or not near:
+            if len(own) < max(1, fewest) or not near:
                 kept.append(line)
         out[doc_id] = "\n".join(kept)
     return out
 
 
-@pytest.mark.parametrize("nearest", [8, 1])
-def test_lines_match_brute_force(spark, sf_dir, texts, nearest, monkeypatch):
+@pytest.mark.parametrize("nearest, if_near, hot, fewest", [(64, 4, 1 << 16, 1), (1, 1, 1 << 16, 1), (8, 2, 4, 5)])
+def test_lines_match_brute_force(spark, sf_dir, texts, nearest, if_near, hot, fewest, monkeypatch):
     monkeypatch.setattr(line_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(line_dedup, "IF_NEAR", if_near)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     rng = np.random.default_rng(5)
     made = dict(texts)
     base = [f"w{i}" for i in range(40)]
@@ -210,8 +212,12 @@ def test_lines_match_brute_force(spark, sf_dir, texts, nearest, monkeypatch):
         for j in rng.choice(40, rng.integers(0, 10), replace=False):
             own[j] = f"v{rng.integers(0, 30)}"
         made[10_000 + i] = " ".join(own)
-    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(made)
+    for i in range(40):  # short, middle and long lines that repeat words and each other
+        k = [1, 2, 3, 4, 5, 6, 60, 70, 230, 260][i % 10]
+        line = " ".join(f"{'ABa'[i % 3]}{(j * 7 + i // 20) % (k + i // 10)}" for j in range(k))
+        made[20_000 + i] = f"{line}\n\nx{i} {line}\n"
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, fewest).collect()} == brute_lines(made, fewest)
 
 
 def bag(text):

@@ -21,7 +21,7 @@ A, B, C, D = ("one two three four five six", "red green blue black white grey",
 
 
 def test_rows_without_id_lose_only_their_own_lines(spark):
-    texts = [f"{A}\nx", f"{D}\ny\n{B}", f"z\nz\n{A}"]
+    texts = [f"{A}\nx", f"{D}\ny\n{B}", f"z\nq\n{A}"]
     docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
     got = sorted((r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
     kept = [t for t, n in got if n == 0]
