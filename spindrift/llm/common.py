@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,8 +80,9 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 def forget() -> None:
     """Drops what `held` keeps, and gives freed memory back to the system."""
-    _held.clear()
-    gc.collect()
+    if _held:
+        _held.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -159,11 +159,11 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def bitmap_filter(shared, column: str) -> Column:
     """Whether a long column is in a broadcast bitmap. Only that column goes through Python."""
-    @F.pandas_udf("boolean")
-    def inside(ids: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(shared.value, ids.to_numpy(np.int64)))
 
-    return inside(F.col(column))
+    def inside(ids: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, ids.to_numpy(zero_copy_only=False)))
+
+    return F.arrow_udf(inside, "boolean")(F.col(column))
 
 
 #: Stands for a null document id where ids are joined.

@@ -15,7 +15,8 @@ remaining earlier partners the nearest by sketch is verified on the full word se
 next ones; a class that had more and none held is searched again among all its partners, so the
 result is exact.
 
-Words are known by 52-bit, sets by 64-bit hashes. A null text is empty; a null doc_id comes before all
+Words are known by 52-bit, sets by 64-bit hashes; under one word a class is told apart by its length,
+its sketch and 32 bits of its hash. A null text is empty; a null doc_id comes before all
 others. Every row is a document of its own: rows with one id, or with none, come in order of their
 texts' hashes. The result has the rows of the input. A text of any length is one row's work; columns
 beside doc_id and text pass through. An empty table gives an empty one.
@@ -27,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,13 +41,15 @@ SAME, OF = 4, 5
 #: Lines below this many distinct words match none but equal sets.
 JOINED = 4
 #: Partners that are passed on to verification: few where the nearest is surely one, else more.
-NEAREST, IF_NEAR = 64, 4
-CELL_BITS, BLOCK_BITS = 24, 14
+NEAREST, IF_NEAR = 512, 8
+CELL_BITS, BLOCK_BITS = 24, 18
+SALTS = 16
 WORD_BITS = 52
 WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Kinds of postings by number of words: from, to, words of the parity sketch. A pair within the length
 #: filter is always in one kind together.
-KINDS = ((JOINED, 64, 1), (52, 250, 3), (200, 1 << 31, 16))
+KINDS = ((JOINED, 100, 1), (80, 400, 4), (320, 1 << 31, 16))
+SIZES = ("u1", "<u2", "<u4")
 HOT_LINES = 1 << 16
 POSTINGS_A_BUCKET = 250_000
 FLUSH_BYTES = 12 << 20
@@ -62,13 +64,12 @@ def rank_of(count: np.ndarray | int) -> np.ndarray:
 
 
 def _posting(kind: int) -> np.dtype:
-    size = "<u4" if kind else "u1"
-    return np.dtype([("token", "<u4"), ("n", size), ("at", size), ("set", "<u8"), ("order", "<u8"), ("sketch", "<u8", (KINDS[kind][2],))])
+    return np.dtype([("token", "<u4"), ("n", SIZES[kind]), ("at", SIZES[kind]), ("id", "<u8"), ("sketch", "<u8", (KINDS[kind][2],))])
 
 
 def _multi_bit(kind: int) -> int:
     """Marks, in `at`, classes of several lines."""
-    return 1 << 31 if kind else 1 << 7
+    return 1 << (8 * np.dtype(SIZES[kind]).itemsize - 1)
 
 
 class Lines:
@@ -204,56 +205,67 @@ def _survey(documents: DataFrame, fewest: int) -> DataFrame:
             edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
             at = cells[edge]
             counts[at] = np.minimum(255, counts[at] + np.diff(np.append(edge, len(cells))))
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        some = np.flatnonzero(blocks.any(axis=1))
-        for at in np.array_split(some, max(1, len(some) // 64)):
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in at], pa.binary())], names=["block", "set", "key", "line", "counts"])
+        some = [(i, _packed(x)) for i, x in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)) if x.any()]
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), none, none, none, pa.array([x for _, x in some], pa.binary())], names=["block", "set", "key", "line", "counts"])
 
     return documents.mapInArrow(frugal(survey), "block int, set long, key long, line long, counts binary")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts below 256 of a block: as they are, or the places and values of few that are not 0."""
+    some = np.flatnonzero(counts)
+    if 5 * len(some) >= len(counts):
+        return counts.tobytes()
+    return some.astype("<u4").tobytes() + counts[some].tobytes()
+
+
+def _add(total: np.ndarray, packed: bytes) -> None:
+    if len(packed) == len(total):
+        total += np.frombuffer(packed, np.uint8)
+    else:
+        k = len(packed) // 5
+        total[np.frombuffer(packed, "<u4", k)] += np.frombuffer(packed, np.uint8, k, 4 * k)
+
+
 def _word_ranks(survey: DataFrame) -> np.ndarray:
-    """By the top CELL_BITS bits of a word's hash: `rank_of` its count (16 MB)."""
+    """By the top CELL_BITS bits of a word's hash: `rank_of` its count (16 MB).
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sums of a task are at most two bytes a cell; a count beyond that is as frequent as can be.
-        total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
-        for batch in batches:
-            for block, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                own = total[block] + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint32)
-                total[block] = np.minimum(own, 65_535)
-        some = np.flatnonzero(total.any(axis=1))
-        for at in np.array_split(some, max(1, len(some) // 64)):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(total[i].tobytes(), 1) for i in at], pa.binary())], names=["block", "counts"])
+    Tables of counts are added by block in two steps, so no task meets those of all tasks at once."""
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        for x in t.column("counts").to_pylist():
+            _add(total, x)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())})
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint16)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([rank_of(total).tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x), "<u4")
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([rank_of(total).tobytes()], pa.binary())})
 
-    parts = survey.where("block is not null").select("block", "counts").mapInArrow(frugal(add), "block int, counts binary")
-    found = parts.groupBy("block").applyInArrow(merge, "block int, ranks binary")
+    parts = survey.where("block is not null").select("block", "counts", (F.spark_partition_id() % SALTS).alias("salt"))
+    found = parts.groupBy("block", "salt").applyInArrow(add, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, counts binary")
     out = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for r in found.collect():
-        out[r.block] = np.frombuffer(r.ranks, np.uint8)
+        out[r.block] = np.frombuffer(r.counts, np.uint8)
     return out.ravel()
 
 
 class Order:
-    """A 64-bit code that never falls from a line to a later one; equal codes may belong to either order."""
+    """32-bit codes of documents that never fall from one to a later one; equal codes may belong to either order."""
 
     def __init__(self, low: int, high: int) -> None:
-        self.low, self.shift = low, max(0, (high - low + 1).bit_length() - 43)
+        self.low, self.shift = low, max(0, (high - low + 1).bit_length() - 31)
 
     def doc(self, key: np.ndarray) -> np.ndarray:
         code = (key.view(np.uint64) - np.uint64(self.low & (2**64 - 1)) >> np.uint64(self.shift)) + np.uint64(1)
         return np.where(key == NO_ID, np.uint64(0), code)
 
-    def code(self, lines: Lines) -> np.ndarray:
-        within = np.minimum((lines.seq << 12) + np.minimum(lines.number, 4095), (1 << 20) - 1)
-        return self.doc(lines.doc) << np.uint64(20) | within.astype(np.uint64)
+    def id(self, lines: Lines) -> np.ndarray:
+        """The code of its document, and 32 bits of the set's hash: what a posting names a class by."""
+        return self.doc(lines.doc) << np.uint64(32) | lines.sets & np.uint64(0xFFFFFFFF)
 
 
 def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=None) -> DataFrame:
@@ -294,7 +306,7 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
                 p = np.empty(len(word), _posting(kind))
                 p["token"], p["n"] = word & np.uint64(0xFFFFFFFF), lines.n[owner]
                 p["at"] = at + np.where(in_bitmap(multi, lines.sets), _multi_bit(kind), 0)[owner]
-                p["set"], p["order"], p["sketch"] = lines.sets[owner], order.code(lines)[owner], lines.sketches(width)[owner]
+                p["id"], p["sketch"] = order.id(lines)[owner], lines.sketches(width)[owner]
                 lists[kind].append(p)
                 # The bits above the token's: bucket and token together tell words apart as well as their hash.
                 places[kind].append((mix(word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
@@ -307,23 +319,24 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
     return documents.mapInArrow(frugal(post), "bucket int, kind int, postings binary")
 
 
-PAIRS = "later long, earlier long, far int, more boolean, sure boolean, later_at long, earlier_at long"
+PAIRS = "later long, earlier long, far int, more boolean, sure boolean"
 
 
 def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, later_in: np.ndarray | None) -> list[np.ndarray]:
     """The columns PAIRS of sets and an earlier partner that passes all filters. `more`: the set has others
     still; not `sure`: the partner may also be the later one (then the reverse is given, too). `nearest`: how many
     partners a set gets where the nearest is near, and else; None gives all. `later_in` limits the later sets to a bitmap."""
-    # One posting for each word and set: the earliest line's.
-    same = mix(p["set"] + p["token"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # One posting for each word and class: the earliest line's.
+    same = mix(p["id"] << np.uint64(32) | p["token"].astype(np.uint64)) ^ mix(p["sketch"][:, 0] + p["n"])
     by = np.argsort(same)
     if (same[by][1:] == same[by][:-1]).any():
-        by = np.lexsort((p["order"], p["set"], p["token"]))
-        token, own = p["token"][by], p["set"][by]
-        p = p[by[np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1]))]]
+        by = np.lexsort((p["id"], same))
+        same = same[by]
+        p = p[by[np.append(True, same[1:] != same[:-1])]]
     p = p[np.argsort(p["token"].astype(np.uint64) << np.uint64(32) | p["n"].astype(np.uint64))]
     bit = _multi_bit(kind)
-    token, sketch, order, sets = (np.ascontiguousarray(p[x]) for x in ("token", "sketch", "order", "set"))
+    token, sketch, ids = (np.ascontiguousarray(p[x]) for x in ("token", "sketch", "id"))
+    order = ids >> np.uint64(32)
     n = p["n"].astype(np.int64)
     at, multi = (p["at"] & (bit - 1)).astype(np.int64), (p["at"] & bit) > 0
     found: list[list[np.ndarray]] = []
@@ -336,7 +349,7 @@ def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, l
         rows = [x[by[np.append(True, (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1]))]] for x in rows]
         if nearest is None or not len(rows[0]):
             return rows
-        later, near, more = rows[0], rows[7], rows[3]
+        later, near, more = rows[0], rows[5], rows[3]
         first = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
         count = np.diff(np.append(first, len(later)))
         most = np.where(near[first], *nearest)
@@ -357,7 +370,7 @@ def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, l
         ok = np.minimum(n[left] - at[left], n[right] - at[right]) >= least
         a, b, most = left[ok], right[ok], (both - 2 * least)[ok]
         far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int32)
-        ok = (far <= most) & (sets[a] != sets[b])
+        ok = far <= most
         a, b, far, most = a[ok], b[ok], far[ok], most[ok]
         if len(a):
             swap = order[a] > order[b]
@@ -367,18 +380,18 @@ def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, l
             earlier, later = np.concatenate([a, b[u]]), np.concatenate([b, a[u]])
             far, most, sure = (np.concatenate([x, x[u]]) for x in (far, most, sure))
             if later_in is not None:
-                go = in_bitmap(later_in, sets[later])
+                go = in_bitmap(later_in, ids[later])
                 earlier, later, far, most, sure = (x[go] for x in (earlier, later, far, most, sure))
             if len(far):
-                found.append([sets[later], sets[earlier], far, np.zeros(len(far), bool), sure, order[later], order[earlier], sure & (2 * far <= most)])
+                found.append([ids[later], ids[earlier], far, np.zeros(len(far), bool), sure, sure & (2 * far <= most)])
             kept += len(far)
             if nearest is not None and kept > 1_000_000:
                 found = [reduce(found)]
                 kept = len(found[0][0])
         step += 1
     if not found:
-        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, bool, np.uint64, np.uint64)]
-    return reduce(found)[:7]
+        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, bool)]
+    return reduce(found)[:5]
 
 
 def _candidates(postings: DataFrame, nearest: tuple[int, int] | None, later_in=None) -> DataFrame:
@@ -387,56 +400,48 @@ def _candidates(postings: DataFrame, nearest: tuple[int, int] | None, later_in=N
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         kind = key[1].as_py()
         p = np.concatenate([utf8(x)[0] for x in t.column("postings").chunks]).view(_posting(kind))
-        later, earlier, far, more, sure, later_at, earlier_at = nearest_earlier(p, kind, nearest, later_in.value if later_in is not None else None)
-        signed = [x.view(np.int64) for x in (later, earlier, later_at, earlier_at)]
-        return pa.table({"later": signed[0], "earlier": signed[1], "far": far, "more": more, "sure": sure, "later_at": signed[2], "earlier_at": signed[3]})
+        later, earlier, far, more, sure = nearest_earlier(p, kind, nearest, later_in.value if later_in is not None else None)
+        return pa.table({"later": later.view(np.int64), "earlier": earlier.view(np.int64), "far": far, "more": more, "sure": sure})
 
     found = postings.groupBy("bucket", "kind").applyInArrow(compare, PAIRS)
-    least = lambda x: F.min(x).alias(x)
-    return found.groupBy("later", "earlier").agg(least("far"), F.bool_or("more").alias("more"), F.bool_or("sure").alias("sure"), least("later_at"), least("earlier_at"))
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    ends = [pairs.select(F.col(x).alias("set"), F.shiftrightunsigned(f"{x}_at", 20).alias("doc")) for x in ("later", "earlier")]
-    return ends[0].union(ends[1])
-
-
-def _directed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """`pairs` without those whose partner is the later of the two after all."""
-    unsure = pairs.where("not sure")
-    ends = pairs.sparkSession.sparkContext.broadcast(id_bitmap(_ends(unsure), "set"))
-    few = pinned(classes.where(bitmap_filter(ends, "set")).select("set", "first"))
-    first = lambda x: few.select(F.col("set").alias(x), F.col("first").alias(f"{x}_first"))
-    known = unsure.join(first("later"), "later").join(first("earlier"), "earlier").where("earlier_first < later_first")
-    return pairs.where("sure").union(known.select(pairs.columns))
+    return found.groupBy("later", "earlier").agg(F.min("far").alias("far"), F.bool_or("more").alias("more"), F.bool_or("sure").alias("sure"))
 
 
 def _word_sets(documents: DataFrame, pairs: DataFrame, order: Order, fewest: int) -> DataFrame:
-    """set and words (array of hashes) of the sets in `pairs`; only documents that posted one are read."""
+    """id, set and words (array of hashes) of the classes in `pairs`; only documents that posted one are read."""
     context = documents.sparkSession.sparkContext
-    ends = _ends(pairs)
-    shared = context.broadcast((id_bitmap(ends, "set"), id_bitmap(ends, "doc"), order))
+    ends = pairs.select(F.col("later").alias("id")).union(pairs.select(F.col("earlier").alias("id")))
+    shared = context.broadcast((id_bitmap(ends, "id"), id_bitmap(ends.select(F.shiftrightunsigned("id", 32).alias("doc")), "doc"), order))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, docs, order = shared.value
+        ids, docs, order = shared.value
         recent = Recent()
         for lines in _batches(batches, fewest, lambda key: in_bitmap(docs, order.doc(key))):
-            lines = lines.take((lines.n >= JOINED) & in_bitmap(sets, lines.sets)).distinct()
-            lines = lines.take(recent.new(lines.sets))
+            lines = lines.take(lines.n >= JOINED)
+            lines = lines.take(in_bitmap(ids, order.id(lines))).distinct()
+            lines = lines.take(recent.new(mix(lines.sets) + order.id(lines)))
             bounds = np.append(0, np.cumsum(lines.n)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.words.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.sets.view(np.int64)), words], names=["set", "words"])
-
-    return pinned(documents.mapInArrow(frugal(emit), "set long, words array<long>").groupBy("set").agg(F.first("words").alias("words")))
-
-
-def _matched(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set of each later set of `pairs` that an earlier one matches, by their full word sets."""
-    a, b = sets.select(F.col("set").alias("later"), F.col("words").alias("x")), sets.select(F.col("set").alias("earlier"), F.col("words").alias("y"))
-    both = pairs.select("later", "earlier").join(a, "later").join(b, "earlier")
-    common = F.size(F.array_intersect("x", "y"))
-    same = both.where(common * OF >= (F.size("x") + F.size("y") - common) * SAME)
-    return pinned(same.select(F.col("later").alias("set")).distinct())
+            yield pa.RecordBatch.from_arrays([pa.array(order.id(lines).view(np.int64)), pa.array(lines.sets.view(np.int64)), words], names=["id", "set", "words"])
+
+    return pinned(documents.mapInArrow(frugal(emit), "id long, set long, words array<long>").groupBy("id", "set").agg(F.first("words").alias("words")))
+
+
+def _matched(sets: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """later and set of each later class of `pairs` that an earlier one matches, by their full word sets."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"{x}_set"), F.col("words").alias(f"{x}_words"))
+    both = pairs.select("later", "earlier", "sure").join(side("later"), "later").join(side("earlier"), "earlier").where("later_set <> earlier_set")
+    common = F.size(F.array_intersect("later_words", "earlier_words"))
+    same = both.where(common * OF >= (F.size("later_words") + F.size("earlier_words") - common) * SAME)
+    same = pinned(same.select("later", "later_set", "earlier_set", "sure"))
+    # Which of two is the later one may only be told by the classes.
+    unsure = same.where("not sure")
+    few = pinned(unsure.select(F.col("later_set").alias("set")).union(unsure.select("earlier_set")).distinct().join(classes, "set").select("set", "first"))
+    first = lambda x: few.select(F.col("set").alias(f"{x}_set"), F.col("first").alias(f"{x}_first"))
+    known = unsure.join(first("later"), "later_set").join(first("earlier"), "earlier_set").where("earlier_first < later_first")
+    out = pinned(same.where("sure").select("later", "later_set").union(known.select("later", "later_set")).distinct().withColumnRenamed("later_set", "set"))
+    release(same, few)
+    return out
 
 
 def _matches(documents: DataFrame, survey: DataFrame, classes: DataFrame, fewest: int) -> DataFrame:
@@ -449,32 +454,31 @@ def _matches(documents: DataFrame, survey: DataFrame, classes: DataFrame, fewest
     shared = context.broadcast((_word_ranks(survey), int(rank_of(HOT_LINES)), multi, order))
     buckets = max(8, min(1 << 20, -(-classes.count() * 8 // POSTINGS_A_BUCKET)))
 
-    found = pinned(_candidates(_postings(documents, shared, buckets, fewest), (IF_NEAR, NEAREST)))
+    found = _candidates(_postings(documents, shared, buckets, fewest), (IF_NEAR, NEAREST))
+    pairs = pinned(found.withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("far", "earlier"))))
     tidy(spark)
-    pairs = _directed(found, classes)
-    pairs = pinned(pairs.withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("far", "earlier"))))
     sets = _word_sets(documents, pairs, order, fewest)
-    matched = _matched(sets, pairs.where("place = 1"))
-    failed = pairs.join(matched.withColumnRenamed("set", "later"), "later", "left_anti")
-    matched = matched.union(_matched(sets, failed.where("place > 1")))
-    # `more` is told by the pairs as found: all partners that were passed on may have been later ones.
-    more = found.where("more").select("later").distinct()
-    open_sets = pinned(more.join(matched.withColumnRenamed("set", "later"), "later", "left_anti").select(F.col("later").alias("set")))
+    matched = _matched(sets, pairs.where("place = 1"), classes)
+    rest = pairs.where("place > 1").join(matched.select("later"), "later", "left_anti")
+    matched = matched.union(_matched(sets, rest, classes))
+    open_sets = pinned(pairs.where("more").select("later").distinct().join(matched.select("later"), "later", "left_anti"))
     if not open_sets.isEmpty():
-        open_bitmap = context.broadcast(id_bitmap(open_sets, "set"))
+        open_bitmap = context.broadcast(id_bitmap(open_sets, "later"))
         again = _postings(documents, shared, buckets, fewest, context.broadcast(_prefix_words(sets, open_bitmap, shared)))
-        again = pinned(_directed(pinned(_candidates(again, None, open_bitmap)), classes))
-        matched = matched.union(_matched(_word_sets(documents, again, order, fewest), again)).distinct()
-    return pinned(matched)
+        again = pinned(_candidates(again, None, open_bitmap))
+        matched = matched.union(_matched(_word_sets(documents, again, order, fewest), again, classes))
+    out = pinned(matched.select("set").distinct())
+    release(pairs, sets, open_sets)
+    return out
 
 
 def _prefix_words(sets: DataFrame, open_bitmap, shared) -> np.ndarray:
-    """A bitmap of the words that the sets in `open_bitmap` are listed under."""
+    """A bitmap of the words that the classes in `open_bitmap` are listed under."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, hot_rank = shared.value[:2]
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(open_bitmap.value, batch.column("set").to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(open_bitmap.value, batch.column("id").to_numpy())))
             own = object.__new__(Lines)
             own.n = np.diff(batch.column("words").offsets.to_numpy()).astype(np.int64)
             own.words = batch.column("words").flatten().to_numpy().view(np.uint64)
@@ -501,16 +505,16 @@ def removed_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
     return out
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Each text without the lines whose numbers are given."""
     out = []
-    for own, numbers in zip(text, gone):
-        if numbers is not None and len(numbers):
+    for own, numbers in zip(text.to_pylist(), gone.to_pylist()):
+        if own and numbers:
             left = np.ones(own.count("\n") + 1, bool)
             left[numbers] = False
             own = "\n".join([x for x, stays in zip(own.split("\n"), left.tolist()) if stays])
         out.append(own)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def dedup_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
@@ -527,8 +531,9 @@ def dedup_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
 
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     as_is = rows.where(~bitmap_filter(touched, "__key")).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = rows.where(bitmap_filter(touched, "__key")).join(gone, ["__key", "__seq"], "left")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.pandas_udf(_without, "string")("text", "__gone"))
+    # A merge join at every size: what is removed grows with the table.
+    joined = rows.where(bitmap_filter(touched, "__key")).join(gone.hint("merge"), ["__key", "__seq"], "left")
+    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.arrow_udf(_without, "string")("text", "__gone"))
     n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     changed = joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
     return as_is.union(changed)

@@ -15,6 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _BYTE[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -51,7 +52,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~space[data]
+    solid = ~space[data] if space is not SPACE else (data != 0x20) & (data - np.uint8(0x09) > 4)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start, end = solid.copy(), solid.copy()
@@ -64,8 +65,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """A 64-bit hash of data[start:end] for each span."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    values = _BYTE[LOWER[data] if fold else data]
-    values = values * _power(len(data))
+    values = (_FOLDED if fold else _BYTE)[data]
+    values *= _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values, out=total[1:])
     return mix((total[ends] - total[starts]) * _unpower(len(data) + 1)[starts])
