@@ -67,11 +67,6 @@ def _posting(kind: int) -> np.dtype:
     return np.dtype([("token", "<u4"), ("n", SIZES[kind]), ("at", SIZES[kind]), ("id", "<u8"), ("sketch", "<u8", (KINDS[kind][2],))])
 
 
-def _multi_bit(kind: int) -> int:
-    """Marks, in `at`, classes of several lines."""
-    return 1 << (8 * np.dtype(SIZES[kind]).itemsize - 1)
-
-
 class Lines:
     """The lines with at least `fewest` distinct words of a batch, and their sorted distinct words.
 
@@ -171,15 +166,16 @@ def _sorted(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 class Recent:
-    """Whether a set was met lately: a table of fixed size that forgets, so a class may pass again."""
+    """Whether a set was met lately, in a document not after the one at hand: a table of fixed size that
+    forgets, so a class may pass again, but its first line always does."""
 
     def __init__(self) -> None:
-        self.table = np.zeros(RECENT, np.uint64)
+        self.sets, self.orders = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.uint64)
 
-    def new(self, sets: np.ndarray) -> np.ndarray:
+    def new(self, sets: np.ndarray, order: np.ndarray) -> np.ndarray:
         place = (sets % np.uint64(RECENT)).astype(np.int64)
-        out = self.table[place] != sets
-        self.table[place] = sets
+        out = (self.sets[place] != sets) | (order < self.orders[place])
+        self.sets[place[out]], self.orders[place[out]] = sets[out], order[out]
         return out
 
 
@@ -201,7 +197,7 @@ def _survey(documents: DataFrame, fewest: int) -> DataFrame:
             k = len(lines.n)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array(lines.sets.view(np.int64)), pa.array(lines.doc), pa.array(lines.line), pa.nulls(k, pa.binary())], names=["block", "set", "key", "line", "counts"])
             own = lines.take(lines.n >= JOINED).distinct()
-            cells = np.sort((own.words[np.repeat(recent.new(own.sets), own.n)] >> np.uint64(WORD_BITS - CELL_BITS)).astype(np.uint32))
+            cells = np.sort((own.words[np.repeat(recent.new(own.sets, np.zeros(len(own.sets), np.uint64)), own.n)] >> np.uint64(WORD_BITS - CELL_BITS)).astype(np.uint32))
             edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
             at = cells[edge]
             counts[at] = np.minimum(255, counts[at] + np.diff(np.append(edge, len(cells))))
@@ -272,7 +268,7 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
     """bucket and kind with packed postings; `wanted`, if given, is a bitmap of the words to list under."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, hot_rank, multi, order = shared.value
+        rank, hot_rank, order = shared.value
         bitmap = wanted.value if wanted is not None else None
         recent = Recent()
         lists: list[list[np.ndarray]] = [[] for _ in KINDS]
@@ -294,7 +290,7 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
         size = 0
         for every in _batches(batches, fewest):
             every = every.take(every.n >= JOINED).distinct()
-            every = every.take(recent.new(every.sets))
+            every = every.take(recent.new(every.sets, order.doc(every.doc)))
             for kind, (least, most, width) in enumerate(KINDS):
                 lines = every.take((every.n >= least) & (every.n <= most))
                 word, owner, at = lines.prefix(rank, hot_rank)
@@ -304,8 +300,7 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
                 if not len(word):
                     continue
                 p = np.empty(len(word), _posting(kind))
-                p["token"], p["n"] = word & np.uint64(0xFFFFFFFF), lines.n[owner]
-                p["at"] = at + np.where(in_bitmap(multi, lines.sets), _multi_bit(kind), 0)[owner]
+                p["token"], p["n"], p["at"] = word & np.uint64(0xFFFFFFFF), lines.n[owner], at
                 p["id"], p["sketch"] = order.id(lines)[owner], lines.sketches(width)[owner]
                 lists[kind].append(p)
                 # The bits above the token's: bucket and token together tell words apart as well as their hash.
@@ -322,9 +317,9 @@ def _postings(documents: DataFrame, shared, buckets: int, fewest: int, wanted=No
 PAIRS = "later long, earlier long, far int, more boolean, sure boolean"
 
 
-def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, later_in: np.ndarray | None) -> list[np.ndarray]:
+def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np.ndarray | None) -> list[np.ndarray]:
     """The columns PAIRS of sets and an earlier partner that passes all filters. `more`: the set has others
-    still; not `sure`: the partner may also be the later one (then the reverse is given, too). `nearest`: how many
+    still; not `sure`: both are of one document code, and the reverse is given, too. `nearest`: how many
     partners a set gets where the nearest is near, and else; None gives all. `later_in` limits the later sets to a bitmap."""
     # One posting for each word and class: the earliest line's.
     same = mix(p["id"] << np.uint64(32) | p["token"].astype(np.uint64)) ^ mix(p["sketch"][:, 0] + p["n"])
@@ -334,11 +329,9 @@ def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, l
         same = same[by]
         p = p[by[np.append(True, same[1:] != same[:-1])]]
     p = p[np.argsort(p["token"].astype(np.uint64) << np.uint64(32) | p["n"].astype(np.uint64))]
-    bit = _multi_bit(kind)
     token, sketch, ids = (np.ascontiguousarray(p[x]) for x in ("token", "sketch", "id"))
     order = ids >> np.uint64(32)
-    n = p["n"].astype(np.int64)
-    at, multi = (p["at"] & (bit - 1)).astype(np.int64), (p["at"] & bit) > 0
+    n, at = p["n"].astype(np.int64), p["at"].astype(np.int64)
     found: list[list[np.ndarray]] = []
     kept = 0
 
@@ -375,7 +368,7 @@ def nearest_earlier(p: np.ndarray, kind: int, nearest: tuple[int, int] | None, l
         if len(a):
             swap = order[a] > order[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            sure = (order[a] < order[b]) & ~multi[b]
+            sure = order[a] < order[b]
             u = np.flatnonzero(~sure)
             earlier, later = np.concatenate([a, b[u]]), np.concatenate([b, a[u]])
             far, most, sure = (np.concatenate([x, x[u]]) for x in (far, most, sure))
@@ -400,7 +393,7 @@ def _candidates(postings: DataFrame, nearest: tuple[int, int] | None, later_in=N
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         kind = key[1].as_py()
         p = np.concatenate([utf8(x)[0] for x in t.column("postings").chunks]).view(_posting(kind))
-        later, earlier, far, more, sure = nearest_earlier(p, kind, nearest, later_in.value if later_in is not None else None)
+        later, earlier, far, more, sure = nearest_earlier(p, nearest, later_in.value if later_in is not None else None)
         return pa.table({"later": later.view(np.int64), "earlier": earlier.view(np.int64), "far": far, "more": more, "sure": sure})
 
     found = postings.groupBy("bucket", "kind").applyInArrow(compare, PAIRS)
@@ -419,7 +412,7 @@ def _word_sets(documents: DataFrame, pairs: DataFrame, order: Order, fewest: int
         for lines in _batches(batches, fewest, lambda key: in_bitmap(docs, order.doc(key))):
             lines = lines.take(lines.n >= JOINED)
             lines = lines.take(in_bitmap(ids, order.id(lines))).distinct()
-            lines = lines.take(recent.new(mix(lines.sets) + order.id(lines)))
+            lines = lines.take(recent.new(lines.sets ^ order.id(lines), np.zeros(len(lines.sets), np.uint64)))
             bounds = np.append(0, np.cumsum(lines.n)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(order.id(lines).view(np.int64)), pa.array(lines.sets.view(np.int64)), words], names=["id", "set", "words"])
@@ -450,8 +443,7 @@ def _matches(documents: DataFrame, survey: DataFrame, classes: DataFrame, fewest
     context = spark.sparkContext
     ends = classes.where(F.col("first.key") != NO_ID).agg(F.min("first.key").alias("low"), F.max("first.key").alias("high")).first()
     order = Order(ends.low or 0, ends.high or 0)
-    multi = id_bitmap(classes.where("n > 1"), "set")
-    shared = context.broadcast((_word_ranks(survey), int(rank_of(HOT_LINES)), multi, order))
+    shared = context.broadcast((_word_ranks(survey), int(rank_of(HOT_LINES)), order))
     buckets = max(8, min(1 << 20, -(-classes.count() * 8 // POSTINGS_A_BUCKET)))
 
     found = _candidates(_postings(documents, shared, buckets, fewest), (IF_NEAR, NEAREST))
