@@ -200,3 +200,15 @@ def own_rows(documents: DataFrame) -> DataFrame:
     numbered = unsure.join(sizes.select("__key", "__part", before.alias("__before")), ["__key", "__part"])
     numbered = pinned(numbered.withColumn("__seq", F.col("__before") + F.col("__at")).select(*clear.columns))
     return clear.where(~(bitmap_filter(touched, "__key") | no_id)).union(numbered)
+
+
+def numbered_rows(documents: DataFrame) -> DataFrame:
+    """`documents` with __node, a long id of every row: its doc_id, but for rows without one, and all but
+    the first of those that repeat one, an id above all of the table's."""
+    rows = own_rows(documents)
+    highest = rows.agg(F.max("doc_id").cast("long").alias("id"), F.max("__fresh").alias("fresh")).first()
+    above = max(-1, highest.id if highest.id is not None else -1) + 1
+    if above + (highest.fresh or 0) >= 2**63:
+        raise ValueError("no ids are left above the table's for rows that repeat an id or have none")
+    own = (F.col("__seq") == 0) & F.col("doc_id").isNotNull()
+    return rows.withColumn("__node", F.when(own, F.col("doc_id").cast("long")).otherwise(F.lit(above).cast("long") + F.col("__fresh"))).drop("__key", "__seq", "__fresh")

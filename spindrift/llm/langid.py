@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import fold, slices, table
+from spindrift.llm.common import fold, held, slices, table
 from spindrift.llm.pieces import pieces_path, processor
 
 MARK = "▁"
@@ -48,23 +48,23 @@ def piece_counts(labelled: DataFrame, path: str) -> DataFrame:
         segment = processor(path)
         size = segment.get_piece_size()
         totals: dict[str, np.ndarray] = {}
-        held: dict[str, Counter] = {}
+        words_of: dict[str, Counter] = {}
 
         def flush() -> None:
-            for lang, words in held.items():
+            for lang, words in words_of.items():
                 ids = segment.encode(list(words), num_threads=1)
                 n = np.fromiter(words.values(), np.int64, len(words))
                 flat = np.fromiter((i for x in ids for i in x), np.int64)
                 own = totals.setdefault(lang, np.zeros(size + 1, np.int64))
                 own[:size] += np.bincount(flat, np.repeat(n, [len(x) for x in ids]), size).astype(np.int64)
-            held.clear()
+            words_of.clear()
 
         for batch in batches:
             for part in slices(batch, most=8 << 20):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                    held.setdefault(lang, Counter()).update(letter_words(text))
+                    words_of.setdefault(lang, Counter()).update(letter_words(text))
                     totals.setdefault(lang, np.zeros(size + 1, np.int64))[size] += 1
-                if sum(map(len, held.values())) > FLUSH_WORDS:
+                if sum(map(len, words_of.values())) > FLUSH_WORDS:
                     flush()
         flush()
         for lang, own in totals.items():
@@ -144,9 +144,6 @@ class Marginal(dict):
         return row
 
 
-_marginals: dict[str, Marginal] = {}
-
-
 def learn(labelled: DataFrame, path: str | None = None) -> Languages:
     """From all rows with a language; the counts that reach the driver are one per language and piece."""
     path = path or pieces_path()
@@ -154,37 +151,33 @@ def learn(labelled: DataFrame, path: str | None = None) -> Languages:
 
 
 def identify(documents: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred and score (the language's posterior probability)."""
+    """The columns `keep`, lang_pred and score (the language's posterior probability). Of equally probable
+    languages the first by name is given. Only the text goes through Python."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.select(*keep, F.col("text").alias("__text"))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(texts: pa.Array) -> pa.Array:
         model = shared.value
-        if model.key not in _marginals:
-            _marginals.clear()
-            _marginals[model.key] = Marginal(model)
-        held = _marginals[model.key]
-        for batch in batches:
-            for part in slices(batch, "__text", most=4 << 20):
-                if len(held) > HELD_WORDS:
-                    held.clear()
-                names, scores = [], []
-                for text in part.column("__text").to_pylist():
-                    words = letter_words(text)
-                    if not words or not model.names:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    rows = np.fromiter(map(held.__getitem__, words), np.int64, len(words))
-                    logs = held.table[rows].sum(axis=0) + model.prior
-                    best = int(logs.argmax())
-                    names.append(model.names[best])
-                    scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
-                out = part.drop_columns(["__text"])
-                yield out.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64()))
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes if n != "__text")
-    return kept.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+        known: Marginal = held(("languages", model.key), lambda: Marginal(model))
+        names, scores = [], []
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=4 << 20):
+            if len(known) > HELD_WORDS:
+                known.clear()
+            for text in part.column("text").to_pylist():
+                words = letter_words(text)
+                if not words or not model.names:
+                    names.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                logs = known.table[rows].sum(axis=0) + model.prior
+                best = int(logs.argmax())
+                names.append(model.names[best])
+                scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    # Marked as if it were not deterministic, so that no filter above evaluates it a second time.
+    found = F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
+    return documents.select(*keep, found(F.col("text")).alias("__found")).select(*keep, "__found.lang_pred", "__found.score")
 
 
 def held_out(modulus: int = 3, remainder: int = 1) -> Column:

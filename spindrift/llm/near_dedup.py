@@ -10,13 +10,17 @@ are drawn in order of time up to a horizon that fills all components with high p
 with a component left empty are drawn again with twice the horizon, so signatures are exact minima.
 
 Texts of one word sequence are one class. Classes that share one of `BANDS` bands of `ROWS` components
-are candidates; their connected components are verified: each holds its members' full shingle
-multisets, in chunks of at most about `CHUNK` classes, and every pair of chunks is one task that
-computes all overlaps exactly by matrix products. Pairs with weighted Jaccard of at least 0.8 link, and
-the components of links are the result.
-
-Null and empty texts, and texts without words, link with nothing. Rows that share an id count as one
-document. A null doc_id is a document of its own that links with nothing.
+are candidates. They are verified on their full shingle multisets in two steps. First every class of a
+band is compared with the band's first, which joins most of a group of copies in work that grows with
+its size. Bands that still hold classes of several components stay: their connected groups are
+compared all with all, in chunks of at most about `CHUNK` classes and `CHUNK_BYTES` of shingles, where every
+pair of chunks is one task that computes the overlaps exactly by matrix products. Pairs with weighted
+Jaccard of at least 0.8 link, and the components of links are the result.
+
+Null and empty texts, and texts without words, link with nothing. Every row is a document of its own:
+rows that repeat an id, or have none, belong to the class of their own text. A class is known by its
+smallest doc_id (null if it has none), and one row of it is kept: of that id the first by its text's
+hash. A text of any length is one row's work. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import id_bitmap, in_bitmap, pinned, slices, table, utf8
+from spindrift.llm.common import bitmap_filter, frugal, id_bitmap, in_bitmap, numbered_rows, pinned, release, slices, table, utf8
 from spindrift.llm.components import components
 from spindrift.llm.textkernel import mix, occurrence, words as find_words
 from spindrift.llm.vector_dedup import local_components
@@ -39,6 +43,7 @@ SAME, OF = 4, 5
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 CHUNK = 2048
+CHUNK_BYTES = 32 << 20
 COLUMNS = 4096
 #: How many times the mean filling time of the last component a first horizon reaches beyond.
 SLACK = 4.0
@@ -125,7 +130,7 @@ def weights(owner: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, cls (hash of the word sequence), n (words) and bands of documents with words."""
+    """node, cls (hash of the word sequence), n (words) and bands of `documents` (node, text) with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(0x51ED27))
@@ -140,28 +145,44 @@ def signatures(documents: DataFrame) -> DataFrame:
                 band = mix(band ^ salt)
                 some = np.flatnonzero(n > 0)
                 bounds = np.arange(len(some) + 1, dtype=np.int32) * BANDS
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), pa.array(sequence[some].view(np.int64)), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(band[some].ravel().view(np.int64)))], names=["doc_id", "cls", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(some)), pa.array(sequence[some].view(np.int64)), pa.array(n[some]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(band[some].ravel().view(np.int64)))], names=["node", "cls", "n", "bands"])
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(sign, "doc_id long, cls long, n long, bands array<long>")
+    return documents.select("node", "text").mapInArrow(frugal(sign), "node long, cls long, n long, bands array<long>")
 
 
 def _bags(documents: DataFrame, wanted) -> DataFrame:
-    """doc_id, cls and bag (packed hashes, one for each shingle occurrence) of ids in a bitmap."""
+    """node and bag (packed hashes in order, one for each shingle occurrence) of nodes in a bitmap."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("doc_id").to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column("node").to_numpy())))
             for part in slices(batch):
-                owner, element, sequence, n = shingles(*utf8(part.column("text")))
+                owner, element, _, n = shingles(*utf8(part.column("text")))
                 # The c-th occurrence of a shingle is an element of its own: multisets become sets.
                 element = mix(element + occurrence(owner, element).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
                 edge = np.searchsorted(owner, np.arange(len(n) + 1))
-                bags = [element[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sequence.view(np.int64)), pa.array(bags, pa.binary())], names=["doc_id", "cls", "bag"])
+                bags = [np.sort(element[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
+
+    return documents.select("node", "text").mapInArrow(frugal(emit), "node long, bag binary")
+
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(emit, "doc_id long, cls long, bag binary")
+def _alike(edges: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs a, b of `edges` whose bags have an overlap / union of at least SAME / OF."""
+
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y):
+            both = np.sort(np.concatenate([np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)]))
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(common * OF >= (len(both) - common) * SAME)
+        return pa.array(out, pa.bool_())
+
+    side = lambda x: bags.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}"))
+    # Bags far apart in size cannot be alike and are not sent to Python.
+    n, m = F.length("bag_a"), F.length("bag_b")
+    both = edges.join(side("a"), "a").join(side("b"), "b").where((F.least(n, m) * OF >= F.greatest(n, m) * SAME))
+    return both.where(F.arrow_udf(compare, "boolean")("bag_a", "bag_b")).select("a", "b")
 
 
 def linked_pairs(bags: list[np.ndarray], chunk: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -193,21 +214,20 @@ def linked_pairs(bags: list[np.ndarray], chunk: np.ndarray, across: bool) -> tup
     return a, b
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the group) and kept, one row per row of `documents`."""
-    context = documents.sparkSession.sparkContext
-    documents = documents.select("doc_id", "text")
-    signed = pinned(signatures(documents))
-    classes = pinned(signed.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", "cls", F.explode("bands").alias("band"))
+def _banded_edges(banded: DataFrame) -> DataFrame:
+    """a, b: every class of a band of several with the band's first."""
     shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    edges = banded.join(shared, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    coarse = pinned(components(edges))
+    return banded.join(shared, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+
 
-    chunks = coarse.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    reps = coarse.join(chunks, "component").join(classes.select(F.col("rep").alias("node"), "cls"), "node")
-    bags = _bags(documents, context.broadcast(id_bitmap(coarse, "node"))).withColumnRenamed("doc_id", "node").dropDuplicates(["node", "cls"])
-    placed = reps.join(bags, ["node", "cls"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _all_links(edges: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links a, b among the classes of each component of `edges`, all compared with all; of links that join
+    the same classes only some are given."""
+    coarse = pinned(components(edges))
+    reps = coarse.join(bags, "node")
+    size = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.length("bag")) / CHUNK_BYTES)).cast("int")
+    chunks = reps.groupBy("component").agg(size.alias("chunks"))
+    placed = reps.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("component", "node", "bag", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
@@ -219,13 +239,58 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         some = root != np.arange(len(node))
         return pa.table({"a": node[some], "b": node[root[some]]})
 
-    links = pinned(placed.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"))
+    return placed.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
+
+
+def linked_classes(documents: DataFrame) -> DataFrame:
+    """node and component (the group's smallest node) of every row of `documents` (node, text) with words."""
+    context = documents.sparkSession.sparkContext
+    signed = pinned(signatures(documents))
+    classes = pinned(signed.groupBy("cls", "n").agg(F.min("node").alias("rep"), F.first("bands").alias("bands")))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    edges = pinned(_banded_edges(banded))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = context.broadcast(id_bitmap(ends, "node"))
+    bags = pinned(_bags(documents, wanted).join(ends, "node"))
+    first = pinned(_alike(edges, bags))
+    group = pinned(components(first))
+
+    # What bands still hold of several components, compared all with all.
+    touched = banded.where(bitmap_filter(wanted, "rep")).join(group, F.col("rep") == F.col("node"), "left")
+    labelled = touched.select("rep", "band", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    rest = pinned(_banded_edges(labelled.join(mixed, "band").select("rep", "band")))
+    links = pinned(first.union(_all_links(rest, bags)))
     joined = components(links)
-    by_class = classes.join(joined, classes["rep"] == joined["node"], "left").select("cls", "n", F.coalesce("component", "rep").alias("class_id"))
-    of_doc = signed.select("doc_id", "cls", "n").join(by_class, ["cls", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = documents.select(F.col("doc_id").cast("long")).join(of_doc, "doc_id", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    by_class = classes.join(joined, classes["rep"] == joined["node"], "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
+    out = pinned(signed.select("node", "cls", "n").join(by_class, ["cls", "n"]).select("node", "component"))
+    release(signed, classes, edges, bags, first, group, rest, links)
+    return out
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the group) and kept, one row per row of `documents`."""
+    rows = numbered_rows(documents.select("doc_id", "text"))
+    groups = linked_classes(rows.select(F.col("__node").alias("node"), "text"))
+    ids = rows.select(F.col("doc_id").cast("long"), F.col("__node").alias("node"))
+    # Ids of the table are below all others, so a component's smallest node is its smallest id if it has one.
+    highest = rows.agg(F.max("doc_id").cast("long").alias("id")).first().id
+    out = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    class_id = F.when(F.col("component") <= F.lit(highest).cast("long"), F.col("component"))
+    return out.select("doc_id", class_id.alias("class_id"), (F.col("node") == F.col("component")).alias("kept"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """`documents` without rows that are near duplicates of another that stays: one of each group does.
+
+    Only texts whose row may be in question (a bitmap of ids) are shuffled, to be joined exactly."""
+    names = documents.columns
+    rows = numbered_rows(documents)
+    groups = linked_classes(rows.select(F.col("__node").alias("node"), "text"))
+    gone = pinned(groups.where("node <> component").select(F.col("node").alias("__node")))
+    touched = documents.sparkSession.sparkContext.broadcast(id_bitmap(gone, "__node"))
+    rest = rows.where(bitmap_filter(touched, "__node")).join(gone, "__node", "left_anti").select(*names)
+    return rows.where(~bitmap_filter(touched, "__node")).select(*names).union(rest)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
