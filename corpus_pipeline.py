@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of `docs`, which has the columns of
-`documents`; all but the last return such rows.
+`documents` (further ones are dropped); all but the last return such rows. In every stage a null text is
+empty, a text of any length is one row, rows that repeat an id or have none are documents of their own,
+and an empty table gives an empty result. What that means for each operator is said there.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing
-from spindrift.llm.common import DOCUMENT_COLUMNS, NO_ID, bitmap_filter, id_bitmap, own_rows, pinned, table
+from spindrift.llm.common import DOCUMENT_COLUMNS, pinned, table
 
 #: A language is believed from this posterior probability.
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter or no believable language (operator 4)."""
+    """Without documents that have no letter or no believable language (operator 4).
+
+    Null and empty texts have no letter, so they go here. Of equally probable languages the first counts."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = langid.learn(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, DOCUMENT_COLUMNS)
@@ -27,7 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that match an earlier line (operator 6), and without documents that had no other words."""
+    """Without lines that match an earlier line (operator 6), and without documents that had no other words.
+
+    Documents that lose no line stay as they are, whatever they hold; n_chars is that of the text left."""
     out = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -35,35 +41,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (operator 7): that of the smallest id.
-
-    Of rows that repeat an id the first is known by it, the others by new ids of their own; rows without
-    an id stay. Only texts whose id may be in question (a bitmap of ids) are shuffled, to be joined exactly.
-    """
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    rows = own_rows(docs)
-    highest = rows.agg(F.max("__key").alias("key"), F.max("__fresh").alias("fresh")).first()
-    if highest.fresh and highest.key + highest.fresh + 1 >= 2**63:
-        raise ValueError("no ids are left for rows that repeat an id")
-    own = F.when(F.col("__seq") == 0, F.col("doc_id").cast("long")).otherwise(F.lit(highest.key or 0) + 1 + F.col("__fresh"))
-    rows = rows.withColumn("__id", F.when(F.col("doc_id").isNotNull(), own))
-    found = near_dedup.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"))
-    gone = pinned(found.where("not kept").select(F.col("doc_id").alias("gone_id")))
-    touched = spark.sparkContext.broadcast(id_bitmap(gone, "gone_id"))
-
-    inside = F.col("doc_id").isNotNull() & bitmap_filter(touched, "__place")
-    rows = rows.withColumn("__place", F.coalesce("__id", F.lit(NO_ID)))
-    rest = rows.where(inside).join(gone, F.col("__id") == F.col("gone_id"), "left_anti")
-    return rows.where(~inside).union(rest).select(*DOCUMENT_COLUMNS)
+    """One document of each group of near duplicates (operator 7), rows without an id or of a repeated one
+    included: that of the smallest id."""
+    return near_dedup.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (operator 9)."""
+    """Each document as often as the mix takes it (operator 9): not at all, once or twice. Documents without a
+    source are a source of their own."""
     return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets (operator 8)."""
+    """The pieces of all documents with their sequences and offsets (operator 8); a document that the mix
+    takes twice has its pieces twice."""
     return packing.pack(packing.cut_pieces(docs, packing.vocabulary_path()))
 
 
