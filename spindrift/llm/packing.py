@@ -5,10 +5,11 @@ stretch is a sequence, and the remainders are packed. Packing sees only how many
 each length: lengths are placed longest first, each time into the pattern that has the least tokens
 yet still has room, and a pattern's count falls or rises as pieces join it. The histogram and the
 patterns have at most one entry per length and are handled on the driver. A piece then finds its
-sequence from its rank among the pieces of its length; ranks are taken within (length, salt), so a
-length that a third of the corpus shares is spread over `SALTS` groups.
+sequence from its rank among the pieces of its length: its number within its partition, counted as the
+pieces are written, plus how many the partitions before have. So no length is sorted or gathered, however
+many pieces share it.
 
-Null and empty texts hold the end id alone. Rows with one id give pieces of their own, also alike.
+A special token of the vocabulary that a text spells out becomes its one id. Null and empty texts hold the end id alone. Rows with one id give pieces of their own, also alike.
 An empty table gives no pieces.
 """
 
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import pinned, slices, table
+from spindrift.llm.textkernel import occurrence
 
 SEQUENCE = 1024
 END_ID = 0
-SALTS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -123,37 +125,47 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {k: tuple(np.asarray(x, np.int64) for x in zip(*v)) for k, v in found.items()}
 
 
+def _numbered(pieces: DataFrame, sequence: int) -> DataFrame:
+    """`pieces` with __part and __no: each piece's number among those of its length in its partition."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            no = occurrence(np.zeros(len(length), np.int64), length) + seen[length]
+            seen += np.bincount(length, minlength=sequence + 1)
+            yield batch.append_column("__part", pa.array(np.full(len(no), part, np.int64))).append_column("__no", pa.array(no))
+
+    names = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
+    return pinned(pieces.mapInArrow(number, f"{names}, __part long, __no long"))
+
+
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """`pieces` with sequence_id and offset."""
-    salted = pinned(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")))
-    cells = salted.groupBy("length", "salt").count().collect()  # at most sequence x SALTS rows
-    counts: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(tuple(x) for x in cells):
-        first[length, salt] = counts.get(length, 0)
-        counts[length] = first[length, salt] + n
-    at = pieces.sparkSession.sparkContext.broadcast((first, slots(pack_histogram(counts, sequence))))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    numbered = _numbered(pieces, sequence)
+    counts = pinned(numbered.groupBy("length", "__part").agg(F.count("*").alias("n")))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `sequence` rows
+    at = pieces.sparkSession.sparkContext.broadcast(slots(pack_histogram(histogram, sequence)))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")
+    ranked = numbered.join(counts.select("length", "__part", before.alias("__before")), ["length", "__part"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, runs = at.value
+        runs = at.value
         for batch in batches:
-            length, salt = batch.column("length").to_numpy(), batch.column("salt").to_numpy()
-            rank = batch.column("rank").to_numpy().copy()
+            length = batch.column("length").to_numpy()
+            rank = batch.column("__no").to_numpy() + batch.column("__before").to_numpy()
             sequence_id, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
-                k = int(length[own[0]])
-                starts, sequences, offsets = runs[k]
-                r = rank[own] + np.asarray([first[k, s] for s in salt[own].tolist()], np.int64)
-                run = np.searchsorted(starts, r, side="right") - 1
-                sequence_id[own], offset[own] = sequences[run] + r - starts[run], offsets[run]
-            kept = batch.drop_columns(["salt", "rank"])
+                starts, sequences, offsets = runs[int(length[own[0]])]
+                run = np.searchsorted(starts, rank[own], side="right") - 1
+                sequence_id[own], offset[own] = sequences[run] + rank[own] - starts[run], offsets[run]
+            kept = batch.select(names)
             yield kept.append_column("sequence_id", pa.array(sequence_id)).append_column("offset", pa.array(offset))
 
-    names = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(place, f"{names}, sequence_id long, offset long")
+    names = pieces.columns
+    fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
+    return ranked.select(*names, "__no", "__before").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
