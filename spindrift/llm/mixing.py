@@ -8,11 +8,14 @@ method solves it for all sources at once: every step is one aggregation over (so
 and the state is a table of one row per source, never a driver-side list.
 
 Rates become whole copies by a threshold: copies = floor(r_i + u_i + shift) within [0, ceil(cap)],
-with u_i in [0, 1) drawn from the document's id. The shift of each source is found by repeated
+with u_i in [0, 1) drawn from the document's id and text. The shift of each source is found by repeated
 sixteen-way section on the tokens really taken, so rounding leaves a miss of about one document.
 
-A null text has size 0; a null source is a source of its own, last in order. Rows with one id share
-their u and so their copies. An empty table gives an empty result.
+Sources are ranked by sorted ranges, and the level that caps share out is found by rounds of sums over
+them, so sources may be as many as documents.
+
+A null text has size 0; a null source is a source of its own, last in order. Rows with one id and text
+share their u and so their copies. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,33 +39,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked_sources(per: DataFrame) -> DataFrame:
+    """`per` (one row a source) with place, from 1, in the order of code points, null last."""
+    order = F.col("source").asc_nulls_last()
+    ranged = pinned(per.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    within = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(order)))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    # One row a range: as many as shuffle partitions, whatever the sources.
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return within.join(before, "range").select(*per.columns, (F.col("before") + F.col("place")).cast("long").alias("place"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, source_size and target of each source of `sizes` (source, size).
 
     Sources in code point order, null last, take the weights in turn. A target stops at `cap` times
-    the source's size, and the excess goes to the others by weight until none is above. Sources are
-    capped in the order of size over weight; the level of the rest follows from running sums.
+    the source's size, and the excess goes to the others by weight until none is above: a source that is
+    capped at one level of tokens a weight stays so at the next, which is higher.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("place", F.row_number().over(order))
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") - 1) % len(weights) + 1))
-    per = per.withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), "place")
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    per = (
-        per.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(share)))
-        .withColumn("spent", F.coalesce(F.sum("limit").over(earlier), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-        .withColumn("level", F.greatest(F.col("total") - F.col("spent"), F.lit(0.0)) / F.col("open"))
-        .withColumn("over", F.col("level") * F.col("weight") > F.col("limit"))
-    )
-    # The first source that stays below its limit fixes the level of itself and all after it.
-    below = F.min(F.when(~F.col("over"), F.struct(F.col("limit") / F.col("weight"), "place", "level"))).over(whole)
-    per = per.withColumn("below", below["level"])
-    target = F.least(F.col("limit"), F.coalesce(F.col("below") * F.col("weight"), F.col("limit")))
-    return per.select("source", "source_size", target.alias("target"))
+    per = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    per = pinned(per.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap))))
+    all_ = per.agg((F.sum("source_size") * share).alias("total"), F.sum("weight").alias("weight")).first()
+    level, capped = (all_.total / all_.weight if all_.weight else 0.0), 0
+    while all_.weight:
+        over = F.col("weight") * F.lit(level) > F.col("limit")
+        now = per.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("limit"))), F.lit(0.0)).alias("spent"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("open")).first()
+        if now.n == capped or not now.open:
+            break
+        level, capped = max(0.0, all_.total - now.spent) / now.open, now.n
+    return per.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def _rate(lam: Column, z: Column, cap: float) -> Column:
@@ -85,7 +91,7 @@ def _rated(rows: DataFrame, fitted: DataFrame, cap: float) -> DataFrame:
 
 
 def _sized(documents: DataFrame) -> DataFrame:
-    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) * F.lit(2.0**-53)
+    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), 11) * F.lit(2.0**-53)
     return documents.withColumn("size", word_count(F.col("text"))).withColumn("u", u)
 
 
