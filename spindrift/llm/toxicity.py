@@ -1,18 +1,29 @@
 """Operator 10: toxicity by a weighted finite-state grammar over clauses.
 
 A clause (text between punctuation or line ends) is read as a string of word classes: insult, threat,
-target, negation, reported speech, other. Three transducers are composed into one automaton: negation
-weakens the next insult or threat, reported speech weakens all that follow, and a target before an
-insult or threat strengthens it. The automaton's output classes weigh a clause's matches, so the same
-word counts differently in different clauses, and a text's score is a logistic function of what its
-clauses add up to.
-
-Insults are word forms or word beginnings, learned from labelled texts: those whose log odds of
-standing in a toxic text have a high lower bound. Both the lexicon and the logistic weights come from
-at most `SAMPLE_ROWS` labelled documents, the first in order of a hash of the id. Threats, targets,
-negations and verbs of report are the fixed lists below.
-
-Null and empty texts score as a text without matches. With no label of either kind every score is 0.
+intent, target, negation, report, other. Six weighted transducers are composed into one automaton that
+reads it from left to right; the weight of a path is the product of its arcs':
+
+* insult: an insult matches, further ones of the clause count less;
+* threat: a threat matches fully after a word of intent, weakly without one;
+* target: a match after a target counts more;
+* negation: the next match after a negation counts little;
+* report: matches after a verb of report count less, to the clause's end;
+* the transducer of later targets, which reads the clause from right to left before the others and
+  marks matches that a target follows: they count more, too.
+
+A clause's score is the sum over its matches of the word's weight times the path's weight there. A text
+is scored by its clauses: their sum, the heaviest, how many match, what share of all, and the text's
+length, through a logistic function.
+
+A word's weight as an insult comes from labelled texts: the lower bound of the log odds of a word form,
+or a word beginning, standing in a toxic text; the forms make a trie that a word's letters walk. Words of
+the other classes are the fixed lists below. Forms and logistic weights are learned from at most
+`SAMPLE_ROWS` rows of labelled documents, the first in order of a hash, and at most `MOST_FORMS` forms.
+
+Null and empty texts score as a text without matches. With no label of either kind every score is 0. Of
+several labels of one document the highest counts. Rows with one id are scored each on their own; a text
+of any length is read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import fold, pinned, slices, table
+from spindrift.llm.common import fold, held, pinned, release, slices, table
 
 SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST = 3, 8
@@ -38,50 +49,101 @@ MOST_FORMS = 30_000
 LEAST_ODDS, ERRORS = 0.7, 2.5
 HELD_WORDS = 500_000
 
-# Word classes that are not learned.
-THREATS = "kill hurt destroy beat burn shoot stab crush töten schlagen vernichten verletzen tuer frapper détruire brûler matar golpear destruir quemar".split()
-TARGETS = "you your yours he she they them him her du dich dir ihr euch sie tu toi vous ils elle tú ti vosotros usted ustedes ellos".split()
-NEGATIONS = "not never no nicht nie kein keine ne pas jamais nunca jamás".split()
-REPORTS = "said says wrote quoted claimed sagte schrieb behauptete dit écrit dijo escribió".split()
-
-WORD = re.compile(r"[^\W\d_]+")
+# Word classes that are not learned, and their weights as matches where they are any.
+THREATS = (
+    "kill hurt destroy beat burn shoot stab crush smash strangle hang punish ruin hunt murder attack "
+    "töten umbringen schlagen vernichten verletzen erschießen verbrennen erwürgen jagen "
+    "tuer frapper détruire brûler blesser écraser étrangler abattre massacrer "
+    "matar golpear destruir quemar herir aplastar estrangular disparar"
+).split()
+INTENTS = "will gonna shall must should going let werde werden wird will soll sollte muss vais va vont veux faut dois voy vas van quiero debe hay".split()
+TARGETS = (
+    "you your yours yourself u ur he she they them him her his their "
+    "du dich dir dein deine ihr euch euer sie ihm ihn ihnen "
+    "tu toi te ton ta tes vous votre vos ils elle elles lui leur "
+    "tú ti tus vosotros usted ustedes ellos ella ellas él"
+).split()
+NEGATIONS = "not never no none nor neither without isn't aren't don't won't nicht nie niemals kein keine keinen ohne weder ne pas jamais aucun aucune sans ni nunca jamás ningún ninguna sin tampoco".split()
+REPORTS = (
+    "said says say wrote writes quoted claimed claims called stated reported according "
+    "sagte sagt schrieb schreibt behauptete behauptet nannte laut meinte "
+    "dit disait écrit prétend affirme appelé selon déclare "
+    "dijo dice escribió escribe afirma afirmó llamó según"
+).split()
+THREAT_WEIGHT = 2.0
+
+WORD = re.compile(r"[^\W\d_]+(?:'t)?")
 CLAUSE = re.compile(r"[.!?;:,|\n]+")
 
-OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = "o", "u", "n", "r", "t", "i"
-STRONG, WEAK = "+", "-"
+OTHER, TARGET, NEGATION, REPORT, INTENT, THREAT, INSULT = "o", "u", "n", "r", "w", "t", "i"
+#: A match that a target follows, and one that a transducer has already taken as such.
+FOLLOWED = "+"
+MATCH = "m"
+CLASSES = {w: c for c, words in ((INTENT, INTENTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+
+# Weights of arcs.
+AGAIN, WITHOUT_INTENT, TARGETED, TARGET_FOLLOWS, NEGATED, REPORTED = 0.6, 0.5, 1.5, 1.3, 0.2, 0.4
 
 
 class Transducer:
-    """Deterministic: (state, symbol) to (next state, symbol out); other symbols pass unchanged."""
+    """Deterministic and weighted: (state, symbol) to (next state, symbol out, weight); other symbols pass
+    unchanged, with weight 1. State 0 is the first."""
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str]], states: int) -> None:
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]], states: int) -> None:
         self.arcs, self.states = arcs, states
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol)) or (state, symbol, 1.0)
 
     def then(self, other: Transducer, alphabet: list[str]) -> Transducer:
-        """Composition: this one's output is the other's input; states are pairs."""
+        """Composition: this one's output is the other's input, weights multiply; states are pairs."""
         arcs = {}
         for (a, b), symbol in product(product(range(self.states), range(other.states)), alphabet):
-            a2, middle = self.step(a, symbol)
-            b2, out = other.step(b, middle)
-            arcs[a * other.states + b, symbol] = a2 * other.states + b2, out
+            a2, middle, x = self.step(a, symbol)
+            b2, out, y = other.step(b, middle)
+            arcs[a * other.states + b, symbol] = a2 * other.states + b2, out, x * y
         return Transducer(arcs, self.states * other.states)
 
 
+HITS = (INSULT, THREAT, INSULT + FOLLOWED, THREAT + FOLLOWED)
+
+
+def later_targets() -> Transducer:
+    """Reads a clause from its end: matches met after a target become FOLLOWED."""
+    return Transducer({(0, TARGET): (1, TARGET, 1.0)} | {(1, h): (1, h + FOLLOWED, 1.0) for h in (INSULT, THREAT)}, 2)
+
+
+def insults() -> Transducer:
+    first = {(0, INSULT): (1, MATCH, 1.0), (0, INSULT + FOLLOWED): (1, MATCH, TARGET_FOLLOWS)}
+    return Transducer(first | {(1, INSULT): (1, MATCH, AGAIN), (1, INSULT + FOLLOWED): (1, MATCH, AGAIN * TARGET_FOLLOWS)}, 2)
+
+
+def threats() -> Transducer:
+    arcs = {(0, INTENT): (1, OTHER, 1.0), (1, INTENT): (1, OTHER, 1.0)}
+    for state, weight in ((0, WITHOUT_INTENT), (1, 1.0)):
+        arcs |= {(state, THREAT): (state, MATCH, weight), (state, THREAT + FOLLOWED): (state, MATCH, weight * TARGET_FOLLOWS)}
+    return Transducer(arcs, 2)
+
+
+def targets() -> Transducer:
+    return Transducer({(0, TARGET): (1, OTHER, 1.0), (1, TARGET): (1, OTHER, 1.0), (1, MATCH): (1, MATCH, TARGETED)}, 2)
+
+
+def negations() -> Transducer:
+    return Transducer({(0, NEGATION): (1, OTHER, 1.0), (1, NEGATION): (1, OTHER, 1.0), (1, MATCH): (0, MATCH, NEGATED)}, 2)
+
+
+def reports() -> Transducer:
+    return Transducer({(0, REPORT): (1, OTHER, 1.0), (1, REPORT): (1, OTHER, 1.0), (1, MATCH): (1, MATCH, REPORTED)}, 2)
+
+
 def grammar() -> Transducer:
-    hits = (INSULT, THREAT)
-    negation = Transducer({(0, NEGATION): (1, OTHER)} | {(1, h): (0, h + WEAK) for h in hits}, 2)
-    reported = Transducer({(0, REPORT): (1, OTHER)} | {(1, h): (1, h + WEAK) for h in hits}, 2)
-    targeted = Transducer({(0, TARGET): (1, OTHER)} | {(1, h): (1, h + STRONG) for h in hits}, 2)
-    alphabet = [OTHER, TARGET, NEGATION, REPORT, *hits]
-    return negation.then(reported, alphabet).then(targeted, alphabet)
+    """What reads a clause from left to right: all but `later_targets`."""
+    alphabet = [OTHER, TARGET, NEGATION, REPORT, INTENT, *HITS]
+    return insults().then(threats(), alphabet).then(targets(), alphabet).then(negations(), alphabet).then(reports(), alphabet)
 
 
-OUTPUTS = [INSULT, INSULT + STRONG, INSULT + WEAK, THREAT, THREAT + STRONG, THREAT + WEAK]
-CLASSES = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-FEATURES = len(OUTPUTS) + 5
+FEATURES = 6
 
 
 def forms(word: str) -> list[str]:
@@ -90,39 +152,61 @@ def forms(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Maps a word to (class, weight)."""
+    """Maps a word to (class, weight): the heaviest form on its way through the trie of forms."""
 
     def __init__(self, odds: dict[str, float]) -> None:
-        self.odds = odds
-        self.run = grammar()
+        self.trie: dict = {}
+        for form, weight in odds.items():
+            node = self.trie
+            for c in form:
+                node = node.setdefault(c, {})
+            node["weight"] = weight
+        self.run, self.backward = grammar(), later_targets()
 
     def __missing__(self, word: str) -> tuple[str, float]:
-        weight = max((self.odds.get(x, 0.0) for x in forms(word)), default=0.0)
-        found = (INSULT, weight) if weight else (CLASSES.get(word, OTHER), 1.0)
+        node, weight = self.trie, 0.0
+        for c in word + "$":
+            node = node.get(c)
+            if node is None:
+                break
+            weight = max(weight, node.get("weight", 0.0))
+        own = CLASSES.get(word, OTHER)
+        found = (INSULT, weight) if weight else (own, THREAT_WEIGHT if own == THREAT else 0.0)
         if len(self) > HELD_WORDS:
             self.clear()
         self[word] = found
         return found
 
+    def clause(self, words: list[str]) -> tuple[float, int]:
+        """Score and matches of a clause."""
+        read = [x for x in map(self.__getitem__, words) if x[0] != OTHER]
+        if not any(x[1] for x in read):
+            return 0.0, 0
+        state, marked = 0, []
+        for symbol, weight in reversed(read):
+            state, out, _ = self.backward.step(state, symbol)
+            marked.append((out, weight))
+        state, total, matches = 0, 0.0, 0
+        for symbol, weight in reversed(marked):
+            state, out, path = self.run.step(state, symbol)
+            if out == MATCH:
+                total += weight * path
+                matches += 1
+        return total, matches
+
     def features(self, text: str | None) -> list[float]:
-        """Sums by output class, their total, the heaviest clause, matches, words and a constant."""
-        sums, heaviest, matches = dict.fromkeys(OUTPUTS, 0.0), 0.0, 0
+        """Clauses' sum, the heaviest, how many match, their share, words, and a constant."""
         lower = (text or "").lower()
         words = WORD.findall(lower)
+        total, heaviest, matched, clauses = 0.0, 0.0, 0, 0
         lookup = self.__getitem__
-        if any([lookup(w)[0] in (INSULT, THREAT) for w in set(words)]):
+        if any([lookup(w)[1] for w in set(words)]):
             for clause in CLAUSE.split(lower):
-                state, total = 0, 0.0
-                for c, weight in map(lookup, WORD.findall(clause)):
-                    if c is not OTHER:
-                        state, out = self.run.step(state, c)
-                        if out in sums:
-                            sums[out] += weight
-                            total += weight
-                            matches += 1
-                heaviest = max(heaviest, total)
-        n = math.log1p(len(words))
-        return [*(math.log1p(x) for x in sums.values()), math.log1p(sum(sums.values())), math.log1p(heaviest), math.log1p(matches), n, 1.0]
+                own = WORD.findall(clause)
+                clauses += bool(own)
+                score, matches = self.clause(own)
+                total, heaviest, matched = total + score, max(heaviest, score), matched + (matches > 0)
+        return [math.log1p(total), math.log1p(heaviest), math.log1p(matched), matched / max(1, clauses), math.log1p(len(words)), 1.0]
 
 
 class Model:
@@ -154,10 +238,7 @@ def _featured(rows: DataFrame, odds: dict[str, float], key: str, keep: list[str]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, odds = shared.value
-        if key not in _lexicons:
-            _lexicons.clear()
-            _lexicons[key] = Lexicon(odds)
-        lexicon = _lexicons[key]
+        lexicon: Lexicon = held(("lexicon", key), lambda: Lexicon(odds))
         for batch in batches:
             for part in slices(batch, "__text", most=8 << 20):
                 rows = [lexicon.features(x) for x in part.column("__text").to_pylist()]
@@ -167,9 +248,6 @@ def _featured(rows: DataFrame, odds: dict[str, float], key: str, keep: list[str]
     return kept.mapInArrow(extract, f"{fields}, features array<double>")
 
 
-_lexicons: dict[str, Lexicon] = {}
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton's method; the last column is the constant."""
     w = np.zeros(x.shape[1])
@@ -189,7 +267,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = pinned(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     # A broadcast of at most `sample_rows` rows: the texts need no shuffle.
-    sample = pinned(documents.select("doc_id", "text").join(F.broadcast(first), "doc_id"))
+    sample = documents.select("doc_id", "text").join(F.broadcast(first), "doc_id")
+    # An id may have several rows: the sample's bound holds for rows.
+    sample = pinned(sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows))
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
@@ -206,6 +286,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             odds[form] = low
     model = Model(odds, None)
     rows = _featured(sample, odds, model.key, ["toxic"]).collect()  # FEATURES numbers a row
+    release(first, sample)
     model.weights = fit_logistic(np.asarray([r.features for r in rows]), np.asarray([float(r.toxic) for r in rows]))
     return model
 
