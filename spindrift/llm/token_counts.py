@@ -1,18 +1,21 @@
 """Operator 1: token counts by dynamic programming over a trie of distinct pre-tokens.
 
-A pre-token is a run of non-space characters with the word mark U+2581 before it. Its segmentation
+A pre-token is a run of characters other than U+0020 and U+0009 to U+000D, with the word mark U+2581
+before it. Its segmentation
 into pieces of a fixed vocabulary is the one of highest total log10 probability (of equal ones, that
 of fewest tokens). The forward score of a prefix does not depend on what follows, so pre-tokens go
 into a trie and each node is scored once; the node where a pre-token ends holds its token count. Each
 worker keeps its own trie and starts it anew beyond `TRIE_NODES` nodes, so nothing is shuffled and
 memory is bounded; counts are the same however texts are dealt.
 
-Null and empty texts have no words and no tokens. Characters that no piece covers count one token per
+Null and empty texts have no words and no tokens; an empty table gives an empty result. Repeated rows are
+counted each. Characters that no piece covers count one token per
 UTF-8 byte. Pre-tokens over `LONGEST` characters are scored in a rolling window instead of the trie.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import slices, table
+from spindrift.llm.common import held, slices, table
 from spindrift.llm.pieces import pieces_path, zipf_scores
 
 TRIE_NODES = 1_000_000
 LONGEST = 128
 MARK = "▁"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class PrefixTrie(dict):
@@ -89,7 +93,7 @@ class PrefixTrie(dict):
 
     def totals(self, text: str | None) -> tuple[int, int, float]:
         """Words, tokens and log10 probability of a text."""
-        words = (text or "").split()
+        words = WORD.findall(text or "")
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         tokens, scores = np.frombuffer(self.tokens, np.int64) if self.tokens else np.zeros(0, np.int64), np.frombuffer(self.scores) if self.scores else np.zeros(0)
         result = len(words), int(tokens[at].sum()), float(scores[at].sum())
@@ -99,17 +103,12 @@ class PrefixTrie(dict):
         return result
 
 
-_tries: dict[str, PrefixTrie] = {}
-
-
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens and log10_score (of the best segmentations) of every document."""
     path = path or pieces_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tries:
-            _tries[path] = PrefixTrie(path)
-        trie = _tries[path]
+        trie: PrefixTrie = held(("trie", path), lambda: PrefixTrie(path))
         for batch in batches:
             for part in slices(batch, most=8 << 20):
                 rows = [trie.totals(x) for x in part.column("text").to_pylist()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import pinned, table
+from spindrift.llm.common import pinned, release, table
 from spindrift.llm.components import components
 from spindrift.llm.vector_search import matrix, usable
 
@@ -131,15 +131,17 @@ def _leaves(rows: DataFrame, shared, split_from: str) -> DataFrame:
                 at, leaf = (np.concatenate(x) for x in zip(*found))
                 yield part.select(["rep", "label", "width", "mult", "vec"]).take(pa.array(at)).append_column("leaf", pa.array(leaf.astype(np.int64)))
 
-    return rows.mapInArrow(split, "rep long, label long, width int, mult long, vec array<float>, leaf long")
+    return rows.mapInArrow(split, "rep long, label long, width int, mult long, vec array<double>, leaf long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of `vectors` (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of `vectors` (vec_id, embedding, label).
+
+    Labels of at most `leaf_rows` distinct vectors are not split."""
     spark = vectors.sparkSession
     e = F.col("embedding")
     fit = usable(e) & F.exists(e, lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), e.cast("array<float>").alias("vec"), F.coalesce(fit, F.lit(False)).alias("fit"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), e.cast("array<double>").alias("vec"), F.coalesce(fit, F.lit(False)).alias("fit"))
     reps = pinned(rows.where("fit").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("width", F.size("vec")))
     if reps.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -150,19 +152,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     shared = spark.sparkContext.broadcast({w: _unit(np.asarray(v, np.float64)) for w, v in samples.items()})
 
     keys = ["label", "width"]
-    depth = reps.groupBy(*keys).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / LEAF_ROWS)).cast("int") + 1).alias("levels"))
+    depth = reps.groupBy(*keys).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / leaf_rows)).cast("int") + 1).alias("levels"))
     depth = depth.withColumn("levels", F.when(F.col("levels") <= 1, 0).otherwise(F.least("levels", F.lit(CODE_BITS - 10))))
     leaves = pinned(_leaves(reps.join(depth, keys), shared, "root"))
     for _ in range(RESPLITS):
-        big = leaves.groupBy(*keys, "leaf").count().where(F.col("count") > LEAF_ROWS)
+        big = leaves.groupBy(*keys, "leaf").count().where(F.col("count") > leaf_rows)
         big = big.where(F.col("leaf").bitwiseAND((1 << CODE_BITS) - 1) < (1 << (CODE_BITS - 3)))
         if big.isEmpty():
             break
         big = pinned(big.withColumn("levels", F.lit(2)))
         again = _leaves(leaves.join(big, [*keys, "leaf"]), shared, "leaf")
-        leaves = pinned(leaves.join(big, [*keys, "leaf"], "left_anti").select(*again.columns).union(again))
+        before, leaves = leaves, pinned(leaves.join(big, [*keys, "leaf"], "left_anti").select(*again.columns).union(again))
+        release(before, big)
 
-    sizes = leaves.groupBy(*keys, "leaf").agg(F.ceil(F.count("*") / (2 * LEAF_ROWS)).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")
+    sizes = leaves.groupBy(*keys, "leaf").agg(F.ceil(F.count("*") / (2 * leaf_rows)).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")
     homes = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("homes"))
     placed = leaves.join(sizes, [*keys, "leaf"]).join(homes, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     # Chunk i meets every chunk j >= i: a member of chunk c goes to all (i, j) that have c in them.
@@ -199,6 +202,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.table({"rep": rep[some], "root": rep[root[some]], "links": links[some]})
 
     found = pinned(placed.groupBy(*keys, "leaf", "i", "j").applyInArrow(compare, "rep long, root long, links long"))
+    release(leaves)
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = reps.join(links, "rep", "left").join(joined, reps["rep"] == joined["node"], "left")

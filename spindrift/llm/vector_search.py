@@ -84,7 +84,7 @@ def threshold_topk(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, qu
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of `vectors` (vec_id, embedding) that `is_query` marks."""
-    whole = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.size("embedding").alias("width"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    whole = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.size("embedding").alias("width"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     whole = pinned(whole.where("vec_id is not null"))
     counts = whole.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     blocks, query_blocks = max(1, -(-counts.n // CANDIDATE_BLOCK)), max(1, -(-counts.q // QUERY_BLOCK))

@@ -1,6 +1,7 @@
 """Each method against brute force on small tables."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing, pieces, textkernel, token_counts, toxicity, vector_dedup, vector_search
+from spindrift.llm import langid, line_dedup, lm_scoring, mixing, near_dedup, packing, pieces, textkernel, token_counts, toxicity, vector_dedup, vector_search
 from spindrift.llm.attention import CONTEXT, STRIDE, WINDOW, Attention
 from spindrift.llm.common import table
 
@@ -37,17 +38,20 @@ def brute_segmentation(word, logp, byte_logp):
         found = [(best[end - 1][0] + width * byte_logp, -(-best[end - 1][1] + width))]
         found += [(best[a][0] + logp[word[a:end]], -(-best[a][1] + 1)) for a in range(end) if word[a:end] in logp]
         best.append(max(found))
-    return -best[-1][1]
+    return -best[-1][1], best[-1][0]
 
 
 def test_token_counts_match_plain_dynamic_programming(texts):
     path = pieces.pieces_path()
     logp, byte_logp = pieces.zipf_scores(path)
     trie, small = token_counts.PrefixTrie(path), token_counts.PrefixTrie(path, most_nodes=50)
-    for text in list(texts.values())[:5]:
-        expected = sum(brute_segmentation("▁" + w, logp, byte_logp) for w in text.split()[:200])
+    cases = [" ".join(text.split()[:200]) for text in list(texts.values())[:5]] + ["x" * 300 + " " + "aé日" * 70 + "\u00a0b"]
+    for text in cases:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        expected = [brute_segmentation("▁" + w, logp, byte_logp) for w in words]
         for t in (trie, small):
-            assert t.totals(" ".join(text.split()[:200]))[1] == expected
+            n_words, n_tokens, score = t.totals(text)
+            assert (n_words, n_tokens) == (len(words), sum(n for n, _ in expected)) and math.isclose(score, sum(x for _, x in expected))
 
 
 def test_forward_sums_all_segmentations():
@@ -79,39 +83,91 @@ def test_toxicity_held_out(spark):
     assert hit > 0.95 and sum(r.score >= 0.5 for r in got if r.toxic) > 0.7 * sum(r.toxic for r in got)
 
 
-def test_grammar():
-    run = toxicity.grammar()
-
-    def outputs(word):
-        state, out = 0, []
-        for c in word:
-            state, o = run.step(state, c)
-            out.append(o)
-        return out
-
-    assert outputs("oi")[-1] == "i" and outputs("ui")[-1] == "i+" and outputs("ni")[-1] == "i-" and outputs("nii")[-1] == "i"
-    assert outputs("rii")[-1] == "i-" and outputs("ut")[-1] == "t+"
-
-
-def test_attention_windows_and_gradients():
+def test_composition_is_one_transducer_after_the_other():
+    parts = [toxicity.insults(), toxicity.threats(), toxicity.targets(), toxicity.negations(), toxicity.reports()]
+    whole, rng = toxicity.grammar(), np.random.default_rng(4)
+    alphabet = [toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INTENT, *toxicity.HITS]
+    for _ in range(200):
+        state, states = 0, [0] * len(parts)
+        for symbol in rng.choice(alphabet, 8):
+            state, out, weight = whole.step(state, str(symbol))
+            expected, product = str(symbol), 1.0
+            for i, part in enumerate(parts):
+                states[i], expected, x = part.step(states[i], expected)
+                product *= x
+            assert out == expected and math.isclose(weight, product)
+
+
+def test_clauses_score_by_context():
+    lexicon = toxicity.Lexicon({"idiot$": 3.0, "mor": 2.0})
+    score = lambda text: lexicon.clause(text.split())[0]
+    alone = score("an idiot here")
+    assert alone == 3.0 and score("a moron") == 2.0 and score("a quiet day for you") == 0.0
+    assert score("you idiot") > alone and score("idiot are you") > alone and score("you idiot you") > score("you idiot")
+    assert score("not an idiot") < alone and score("he said idiot") < score("he called it so") + score("he idiot")
+    assert score("she wrote idiot") < score("she idiot") and score("not idiot idiot") > score("not idiot")
+    assert score("will kill you") > score("kill you") > score("kill") > 0
+    assert lexicon.clause("idiot idiot".split()) == (3.0 + 3.0 * toxicity.AGAIN, 2)
+    # A match is scored where its clause stands: targets of other clauses do not count.
+    near, apart = lexicon.features("you idiot"), lexicon.features("you. idiot")
+    assert near[0] > apart[0] and lexicon.features(None) == [0, 0, 0, 0, 0, 1.0]
+
+
+def test_toxicity_scores_match_a_plain_logistic_function(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.Model({"th": 1.0, "ing$": 2.0, "the$": 0.8}, np.array([0.5, 0.2, -0.1, 1.0, -0.3, -1.0]))
+    lexicon = toxicity.Lexicon(model.odds)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-float(np.dot(lexicon.features(r.text), model.weights)))), rel_tol=1e-9)
+
+
+def naive_log_probability(model, inputs, target):
+    """Of `target` after the classes `inputs`, by plain loops."""
+    p, w = model.p, len(inputs)
+    x = [p["E"][i] for i in inputs]
+    q = x[-1] @ p["Q"]
+    s = np.array([float(q @ (v @ p["K"])) / math.sqrt(len(q)) + p["R"][w - 1 - i] for i, v in enumerate(x)])
+    s = np.exp(s - s.max())
+    z = x[-1] + (sum(a * (v @ p["V"]) for a, v in zip(s / s.sum(), x))) @ p["O"]
+    z = z + np.maximum(z @ p["A"] + p["a"], 0) @ p["B"]
+    soft = lambda v, i: float(v[i] - np.log(np.exp(v - v.max()).sum()) - v.max())
+    g = model.group[target]
+    return soft(z @ p["U"] + p["b"], g) + soft(z @ p["T"][g] + p["t"][g], model.member[target])
+
+
+def test_attention_windows_and_masks():
     draw = np.random.default_rng(0)
-    model = Attention(7, np.full(7, 1 / 7))
+    model = Attention(np.array([0, 1, 1, 0, 2, 2, 2]), np.array([0.3, 0.1, 0.1, 0.2, 0.1, 0.1, 0.1]))
+    model.p["R"] = draw.standard_normal(WINDOW).astype(np.float32)
     lengths = [0, 1, WINDOW - 1, WINDOW, WINDOW + 1, WINDOW + STRIDE, 3 * WINDOW + 5]
     offsets = np.cumsum([0, *lengths])
     ids = draw.integers(0, 7, offsets[-1])
     got = model.log_probabilities(ids, offsets, most=3)
     for i, n in enumerate(lengths):
-        own = ids[offsets[i] : offsets[i + 1]]
+        own = ids[offsets[i] : offsets[i + 1]].tolist()
         for t in range(n):
             k = 0 if t < WINDOW else (t - WINDOW) // STRIDE + 1
             start = k * STRIDE
-            prefix = own[start : t + 1]
-            alone = Attention(7, np.full(7, 1 / 7))
-            alone.p = model.p
-            if start == 0:
-                whole = alone.log_probabilities(prefix, np.array([0, len(prefix)]))[-1]
-                assert abs(whole - got[offsets[i] + t]) < 1e-4
-            assert got[offsets[i] + t] < 0 and (k == 0 or t - start >= CONTEXT)
+            assert k == 0 or t - start >= CONTEXT
+            expected = naive_log_probability(model, [7, *own][start : t + 1], own[t])
+            assert abs(expected - got[offsets[i] + t]) < 1e-4
+
+
+def test_attention_gradients_and_learning():
+    model = Attention(np.arange(7) // 3, np.full(7, 1 / 7))
+    draw = np.random.default_rng(1)
+    x, y = draw.integers(0, 8, (3, WINDOW)), draw.integers(-1, 7, (3, WINDOW))
+    model.p = {k: a.astype(np.float64) for k, a in model.p.items()}
+    _, g = model.gradients(x, y)
+    for name, at in (("E", (3, 2)), ("Q", (1, 4)), ("K", (0, 0)), ("V", (5, 6)), ("R", (2,)), ("A", (3, 9)), ("T", (1, 2, 0)), ("U", (4, 1)), ("t", (0, 1)), ("b", (2,))):
+        model.p[name][at] += 1e-5
+        up = model.gradients(x, y)[0]
+        model.p[name][at] -= 2e-5
+        down = model.gradients(x, y)[0]
+        model.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-3 * max(0.05, abs(g[name][at]))
+    model = Attention(np.arange(7) // 3, np.full(7, 1 / 7))
     x = np.tile(np.arange(WINDOW) % 7, (64, 1))
     y = (x + 1) % 7
     model.train(np.hstack([np.full((64, 1), 7), y[:, :-1]]), y, epochs=200)
@@ -119,13 +175,39 @@ def test_attention_windows_and_gradients():
     assert learned[2:].mean() > -0.3
 
 
+def test_lm_sums_match_plain_counts(spark, sf_dir, texts):
+    rows = lm_scoring.lm_scores(table(spark, sf_dir, "documents"), F.col("doc_id") % 3 == 0, most=500).collect()
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    tokens = {i: [*word.findall((t or "").translate(lower)), None] for i, t in texts.items()}
+    counts = Counter(w for i, own in tokens.items() if i % 3 for w in own)
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        own = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+    held = [r for r in rows if r.doc_id % 3 == 0]
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6.5
+
+
+def test_words_spelled_in_one_go_have_the_ids_of_each(texts):
+    speller = lm_scoring.Speller(packing.vocabulary_path())
+    odd = ["a\u00a0b \u3000x c\u2003", "\u00a0 \u00a0y", "don't 12 'll <|endoftext|> é日本 \t\n z"]
+    for text in [*list(texts.values())[:20], *odd]:
+        raw = (text or "").encode()
+        _, keys, place, flat, bounds = speller.spell(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for w, at in zip(re.findall(rb"[^\x20\x09-\x0D]+", raw), place):
+            ids = speller.encoder.array(" " + w.lower().decode())
+            assert flat[bounds[at] : bounds[at + 1]].tolist() == [2 * i + (j == len(ids) - 1) for j, i in enumerate(ids.tolist())]
+
+
 def test_packing_round_trip(spark, texts, sf_dir):
     from tokenizers import Tokenizer
 
     path = packing.vocabulary_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    docs = table(spark, sf_dir, "documents")
+    texts = texts | {-1: "a <|endoftext|> b<|endoftext|>c\n<|endoftext|>", -2: "  two  spaces\t\n\n x ", -3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = packing.pack(packing.cut_pieces(docs, path, with_ids=True)).collect()
     of = {}
     for r in got:
@@ -133,10 +215,14 @@ def test_packing_round_trip(spark, texts, sf_dir):
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
     for doc_id, text in texts.items():
         ids = b"".join(bytes(r.ids) for r in sorted(of[doc_id], key=lambda r: r.start))
-        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 0]
     used = Counter()
+    place = {}
     for r in got:
         used[r.sequence_id] += r.length
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in place.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()]
     assert max(used.values()) <= 1024 and sum(used.values()) / (1024 * len(used)) > 0.97
 
 
@@ -172,6 +258,16 @@ def test_mixing_targets(spark):
             budget -= target[s]
             del left[s]
     taken, largest = Counter(), Counter()
+    for name in names:  # rates: the tilt of the odds whose expected tokens are the target
+        own = [(r["size"], r.rate) for r in rows if r.source == name]
+        if 0 < target[name] < 2 * sizes[name]:
+            z = np.array([x for x, _ in own]) / max(1.0, sizes[name] / len(own))
+            low, high = -60.0, 60.0
+            for _ in range(200):
+                lam = (low + high) / 2
+                rate = 2 / (1 + np.exp(-np.clip(lam * z, -500, 500)))
+                low, high = (lam, high) if rate @ np.array([x for x, _ in own]) < target[name] else (low, lam)
+            assert np.abs(rate - [x for _, x in own]).max() < 1e-6
     for r in rows:
         assert math.isclose(r.target, target[r.source]) and 0 <= r.copies <= 2
         taken[r.source] += r.copies * r["size"]
@@ -284,13 +380,12 @@ def test_threshold_algorithm(seed, n, width):
     assert sorted(got) == sorted(expected)
 
 
-def test_vector_dedup_recall(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "LEAF_ROWS", 40)
+def test_vector_dedup_recall(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((150, 32))
     v = np.repeat(centre, 4, axis=0) + rng.standard_normal((600, 32)) * 0.1
     rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v.astype(np.float32))]
-    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf_rows=40).collect()}
     unit = v.astype(np.float32).astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     same = (unit @ unit.T >= 0.98) & (np.arange(600)[:, None] % 2 == np.arange(600) % 2)
