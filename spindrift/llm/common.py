@@ -21,7 +21,19 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Texts are of any length: Arrow batches are bounded by their bytes, here.
+BATCH_BYTES = 8 << 20
+
+
+def steady(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

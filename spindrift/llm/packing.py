@@ -29,7 +29,7 @@ from spindrift.llm.textkernel import occurrence
 
 SEQUENCE = 1024
 END_ID = 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, number long"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -39,7 +39,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def cut_pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece of each document; with_ids adds the ids themselves as bytes."""
+    """One row per piece of each document; with_ids adds the ids themselves as bytes. `number` counts the pieces
+    of one length in a partition, `part`."""
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +48,7 @@ def cut_pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE, end_id
 
         end = np.asarray([end_id], "<u4").tobytes()
         encode = encoder(path).encode
+        part_no, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
         for batch in batches:
             for part in slices(batch, most=8 << 20):
                 rows: list[tuple] = []
@@ -57,8 +59,12 @@ def cut_pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE, end_id
                         piece = ids[4 * start : 4 * (start + sequence)]
                         rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, piece)[: 5 + with_ids])
                 kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+                length = columns[2].to_numpy()
+                number = occurrence(np.zeros(len(length), np.int64), length) + seen[length]
+                seen += np.bincount(length, minlength=sequence + 1)
+                columns[5:5] = [pa.array(np.full(len(length), part_no, np.int64)), pa.array(number)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "number", "ids"][: 7 + with_ids])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
@@ -125,35 +131,20 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {k: tuple(np.asarray(x, np.int64) for x in zip(*v)) for k, v in found.items()}
 
 
-def _numbered(pieces: DataFrame, sequence: int) -> DataFrame:
-    """`pieces` with __part and __no: each piece's number among those of its length in its partition."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            no = occurrence(np.zeros(len(length), np.int64), length) + seen[length]
-            seen += np.bincount(length, minlength=sequence + 1)
-            yield batch.append_column("__part", pa.array(np.full(len(no), part, np.int64))).append_column("__no", pa.array(no))
-
-    names = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return pinned(pieces.mapInArrow(number, f"{names}, __part long, __no long"))
-
-
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """`pieces` with sequence_id and offset."""
-    numbered = _numbered(pieces, sequence)
-    counts = pinned(numbered.groupBy("length", "__part").agg(F.count("*").alias("n")))
+    """`pieces` as `cut_pieces` gives them, without part and number, with sequence_id and offset."""
+    numbered = pinned(pieces)
+    counts = pinned(numbered.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `sequence` rows
     at = pieces.sparkSession.sparkContext.broadcast(slots(pack_histogram(histogram, sequence)))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")
-    ranked = numbered.join(counts.select("length", "__part", before.alias("__before")), ["length", "__part"])
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    ranked = numbered.join(counts.select("length", "part", before.alias("before")), ["length", "part"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = at.value
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("__no").to_numpy() + batch.column("__before").to_numpy()
+            rank = batch.column("number").to_numpy() + batch.column("before").to_numpy()
             sequence_id, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
@@ -163,9 +154,9 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             kept = batch.select(names)
             yield kept.append_column("sequence_id", pa.array(sequence_id)).append_column("offset", pa.array(offset))
 
-    names = pieces.columns
-    fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.select(*names, "__no", "__before").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    names = [x for x in pieces.columns if x not in ("part", "number")]
+    fields = ", ".join(f"`{n}` {t}" for n, t in pieces.select(names).dtypes)
+    return ranked.select(*names, "number", "before").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
