@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing
-from spindrift.llm.common import DOCUMENT_COLUMNS, pinned, table
+from spindrift.llm.common import DOCUMENT_COLUMNS, pinned, steady, table
 
 #: A language is believed from this posterior probability.
 LEAST_SCORE = 0.5
@@ -24,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter or no believable language (operator 4).
 
     Null and empty texts have no letter, so they go here. Of equally probable languages the first counts."""
+    steady(spark)
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = langid.learn(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, DOCUMENT_COLUMNS)
