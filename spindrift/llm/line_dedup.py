@@ -41,7 +41,7 @@ SAME, OF = 4, 5
 #: Lines below this many distinct words match none but equal sets.
 JOINED = 4
 #: Partners that are passed on to verification: few where the nearest is surely one, else more.
-NEAREST, IF_NEAR = 512, 8
+NEAREST, IF_NEAR = 512, 16
 CELL_BITS, BLOCK_BITS = 24, 18
 SALTS = 16
 WORD_BITS = 52
@@ -376,7 +376,7 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
                 go = in_bitmap(later_in, ids[later])
                 earlier, later, far, most, sure = (x[go] for x in (earlier, later, far, most, sure))
             if len(far):
-                found.append([ids[later], ids[earlier], far, np.zeros(len(far), bool), sure, sure & (2 * far <= most)])
+                found.append([ids[later], ids[earlier], far, np.zeros(len(far), bool), sure, sure & (4 * far <= most)])
             kept += len(far)
             if nearest is not None and kept > 1_000_000:
                 found = [reduce(found)]
@@ -521,11 +521,13 @@ def dedup_lines(documents: DataFrame, fewest: int = FEWEST) -> DataFrame:
     tidy(spark)
     touched = spark.sparkContext.broadcast(id_bitmap(gone, "__key"))
 
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     as_is = rows.where(~bitmap_filter(touched, "__key")).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     # A merge join at every size: what is removed grows with the table.
     joined = rows.where(bitmap_filter(touched, "__key")).join(gone.hint("merge"), ["__key", "__seq"], "left")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.arrow_udf(_without, "string")("text", "__gone"))
+    # Marked as if it were not deterministic, so that no filter above evaluates it a second time.
+    without = F.arrow_udf(_without, "string").asNondeterministic()
+    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone"))
     n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     changed = joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
     return as_is.union(changed)
