@@ -378,7 +378,7 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
             if len(far):
                 found.append([ids[later], ids[earlier], far, np.zeros(len(far), bool), sure, sure & (4 * far <= most)])
             kept += len(far)
-            if nearest is not None and kept > 1_000_000:
+            if nearest is not None and kept > 400_000:
                 found = [reduce(found)]
                 kept = len(found[0][0])
         step += 1

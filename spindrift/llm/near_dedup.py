@@ -42,9 +42,9 @@ SHINGLE = 5
 SAME, OF = 4, 5
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
-CHUNK = 2048
-CHUNK_BYTES = 32 << 20
-COLUMNS = 4096
+CHUNK = 1024
+CHUNK_BYTES = 16 << 20
+COLUMNS = 2048
 #: How many times the mean filling time of the last component a first horizon reaches beyond.
 SLACK = 4.0
 
@@ -205,9 +205,13 @@ def linked_pairs(bags: list[np.ndarray], chunk: np.ndarray, across: bool) -> tup
         m = np.zeros((k, min(COLUMNS, last - i * COLUMNS)), np.float32)
         m[owner[a:b], column[a:b] - i * COLUMNS] = 1
         overlap += m @ m.T
-    common = overlap.astype(np.int64)
-    union = size[:, None] + size[None, :] - common
-    a, b = np.nonzero(np.triu(common * OF >= union * SAME, 1))
+    found = []
+    for at in range(0, k, 256):  # overlaps are counts below 2^24, so they are whole in single precision
+        common = overlap[at : at + 256].astype(np.int64)
+        union = size[at : at + 256, None] + size[None, :] - common
+        a, b = np.nonzero(common * OF >= union * SAME)
+        found.append((a[a + at < b] + at, b[a + at < b]))
+    a, b = (np.concatenate(x) for x in zip(*found))
     if across:
         go = chunk[a] != chunk[b]
         a, b = a[go], b[go]
