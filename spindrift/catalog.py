@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import same, scores
 from spindrift.functions.vectors import bit_agreement, difference_hash, hamming, median_bits, shift_correlation, similarity, z_scores
-from spindrift.operators import audit, greedy, joins, rescue, selection, stats, windows
+from spindrift.operators import audit, joins, rescue, selection, stats, windows
 from spindrift.params import LOWER_IS_BETTER, PENALTIES_A, WEIGHTS_A
 from spindrift.session import event_series, table
 
@@ -74,15 +74,27 @@ def adaptive_threshold(spark, sf_dir):
     return s.select("entity", "n", r("p25", 4).alias("p25"), r("p50", 4).alias("p50"), r("min_norm", 4).alias("min_norm"), "applied")
 
 
-@query("""WITH q AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.25) AS b25, quantile_cont(l_extendedprice, 0.5) AS b50, quantile_cont(l_extendedprice, 0.75) AS b75,
-      quantile_cont(l_discount * 2, 0.5) AS s50 FROM lineitem GROUP BY l_suppkey)
-    SELECT l_suppkey AS entity, round(CASE WHEN b75 - b25 > b50 THEN 0.88 ELSE 0.89 END, 4) AS sim_merge,
-      round(CASE WHEN b75 - b25 > b50 THEN 12.0 ELSE 11.0 END, 4) AS hash_merge, s50 >= 0.12 AS high_hand FROM q""")
+#: Samples of a recording, made from line items, in SQL of both engines.
+_SAMPLES = "l_suppkey AS entity, l_quantity + l_suppkey % 4 * 100 AS blur, l_discount * (l_suppkey % 5) * 2.5e0 AS skin, l_tax * (l_suppkey % 3) AS text"
+_CAL = f"""x AS (SELECT {_SAMPLES} FROM lineitem), q AS (SELECT entity, count(*) AS n, quantile_cont(blur, 0.1) AS b10, quantile_cont(blur, 0.9) AS b90, quantile_cont(skin, 0.5) AS s50, quantile_cont(skin, 0.75) AS s75,
+    quantile_cont(text, 0.5) AS t50 FROM x GROUP BY entity), h AS (SELECT *, n >= 6 AND (s50 > 0.45 OR s75 > 0.55) AS high_hand, (b90 - b10) / greatest(b90, 1) AS spread FROM q)"""
+_SIM_MERGE = "CASE WHEN high_hand THEN 0.87e0 WHEN n >= 6 AND s75 > 0.30 THEN 0.88e0 ELSE 0.89e0 END"
+
+
+def _calibration(spark, sf_dir, full):
+    x = table(spark, sf_dir, "lineitem").select(*[F.expr(e) for e in _SAMPLES.split(", ")])
+    return stats.calibration(x, "blur", "skin", "text" if full else None).select("entity", r("min_norm", 4).alias("min_norm"), r("sim_merge", 4).alias("sim_merge"), "hash_merge", "high_hand")
+
+
+@query(f"WITH {_CAL} SELECT entity, CASE WHEN high_hand THEN 0.26e0 ELSE 0.28e0 END AS min_norm, {_SIM_MERGE} AS sim_merge, 11 AS hash_merge, high_hand FROM h")
 def calibration_overrides(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_extendedprice").alias("b"), (F.col("l_discount") * 2).alias("s"))
-    b = stats.five_numbers(li, "b", ["entity"]).select("entity", F.col("p25").alias("b_p25"), F.col("p50").alias("b_p50"), F.col("p75").alias("b_p75"))
-    s = stats.five_numbers(li, "s", ["entity"]).select("entity", F.col("p50").alias("s_p50"))
-    return stats.prefilter_calibration(b.join(s, "entity")).select("entity", r("sim_merge", 4).alias("sim_merge"), r("hash_merge", 4).alias("hash_merge"), "high_hand")
+    return _calibration(spark, sf_dir, False)
+
+
+@query(f"""WITH {_CAL} SELECT entity, CASE WHEN high_hand THEN 0.26e0 WHEN n < 6 OR b90 <= 1e-3 THEN 0.28e0 WHEN spread < 0.20 THEN 0.26e0 WHEN spread > 0.92 THEN 0.30e0 ELSE 0.28e0 END AS min_norm,
+    {_SIM_MERGE} AS sim_merge, CASE WHEN n >= 6 AND t50 < 0.015 THEN 12 ELSE 11 END AS hash_merge, high_hand FROM h""")
+def full_calibration(spark, sf_dir):
+    return _calibration(spark, sf_dir, True)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +136,7 @@ _PLAIN = " + ".join(f"{w} * {f}" for f, w in PENALTIES_A.items())
 
 @query(f"""WITH {FX}, li AS (SELECT entity, {_LIMITS} FROM fx GROUP BY entity)
     SELECT entity, pos, round({' + '.join(f'{w} * {_norm_sql(f)}' for f, w in WEIGHTS_A.items())} - ({_PLAIN}) + 1e-9, 4) AS raw_a,
-    round(1.45 * area + fill + contact + 1.25 * stability + 1.10 * text + 0.65 * ln(1 + blur) / 8 - ({_PLAIN}) + 1e-9, 4) AS raw_b FROM fx JOIN li USING (entity)""")
+    round(1.40 * area + 0.85 * fill + 0.85 * contact + 0.95 * stability + 0.65 * (ln(1 + blur) / 8) + 0.50 * text - 0.85 * hand - 2.40 * hand_text - 1.55 * edge_fg - 0.75 * bottom_hand - 0.70 * turn + 1e-9, 4) AS raw_b FROM fx JOIN li USING (entity)""")
 def raw_score_forms(spark, sf_dir):
     f = stats.robust_norm(features(spark, sf_dir), list(WEIGHTS_A), lower=LOWER_IS_BETTER)
     return f.select("entity", "pos", r(scores.raw_score_a(), 4, 1e-9).alias("raw_a"), r(scores.raw_score_b(), 4, 1e-9).alias("raw_b"))
@@ -159,22 +171,38 @@ def cluster_scores(spark, sf_dir):
     return f.select("entity", "pos", r(scores.cluster_select_score(), 5, 1e-9).alias("select_normal"), r(scores.cluster_select_score(True), 5, 1e-9).alias("select_high"), r(scores.peak_score(n, k), 5, 1e-9).alias("peak_normal"), r(scores.peak_score(n, k, True), 5, 1e-9).alias("peak_high"), r(scores.dedup_quality(), 5, 1e-9).alias("quality"))
 
 
-_TAG = "list_filter([CASE WHEN hand >= 0.40 THEN 'hand' END, CASE WHEN hand_text >= 0.35 THEN 'hand_text' END, CASE WHEN bottom_hand >= 0.55 THEN 'bottom_hand' END, CASE WHEN abs(skew) >= 4 THEN 'skew' END, CASE WHEN turn >= 0.55 THEN 'turn' END, CASE WHEN edge_motion >= 0.85 THEN 'edge_motion' END], lambda x: x IS NOT NULL)"
+_VISUAL = """vx AS (SELECT *, 1.20 * paper_ratio + 0.014 * (v_mean - 240) + 0.005 * (bottom_v - 200) - 1.40 * skin - 1.10 * bottom_skin - 0.045 * greatest(0, blotch - 6) + 0.012 * least(text_edge, 30) AS cvs,
+    6 * skin AS finger FROM fx)"""
+
+
+def _tag(name: str, test: str, *values: str) -> str:
+    shown = " || '/' || ".join(f"'{n}=' || printf('%.2f', {v} + 1e-9)" for n, v in zip(name.split("/"), values))
+    return f"CASE WHEN {test} THEN {shown} END"
+
+
+_TAGS = [
+    _tag("hand", "hand >= 0.40", "hand"), _tag("hand_text", "hand_text >= 0.35", "hand_text"), _tag("bottom_hand", "bottom_hand >= 0.55", "bottom_hand"), _tag("skew", "abs(skew) >= 4", "abs(skew)"),
+    _tag("turn", "turn >= 0.55", "turn"), _tag("edge_motion", "edge_motion >= 0.85", "edge_motion"), _tag("cvs/finger", "cvs < -0.10 AND finger >= 0.30", "cvs", "finger"),
+]
+_TAG = f"list_filter([{', '.join(_TAGS)}], lambda x: x IS NOT NULL)"
+
 
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with suspicious_reasons; values are nudged off decimal ties, as in the SQL."""
+    f = features(spark, sf_dir).withColumn("clean_visual", scores.clean_visual_score()).withColumn("finger", 6 * F.col("skin"))
+    return f.select("entity", "pos", scores.suspicious_reasons(nudge=1e-9).alias("tags"))
 
-@query(f"WITH {FX} SELECT entity, pos, array_to_string({_TAG}, ',') AS tags FROM fx")
+
+@query(f"WITH {FX}, {_VISUAL} SELECT entity, pos, array_to_string({_TAG}, ',') AS tags FROM vx")
 def reason_tags(spark, sf_dir):
-    f = features(spark, sf_dir).withColumn("clean_visual", F.lit(0.0)).withColumn("finger", F.lit(0.0))
-    # The tags carry values; here their names are compared.
-    return f.select("entity", "pos", F.regexp_replace(scores.suspicious_reasons(), r"=-?[0-9.]+", "").alias("tags"))
+    return tagged(spark, sf_dir)
 
 
-@query(f"""WITH {FX}, t AS (SELECT entity, unnest({_TAG}) AS tag FROM fx), k AS (SELECT entity, tag, count(*) AS n FROM t GROUP BY entity, tag)
-    SELECT entity, string_agg(tag || ':' || n, ',' ORDER BY tag || ':' || n) AS summary FROM k GROUP BY entity""")
+@query(f"""WITH {FX}, {_VISUAL}, t AS (SELECT entity, split_part(unnest({_TAG}), '=', 1) AS tag FROM vx), k AS (SELECT entity, tag, count(*) AS n FROM t GROUP BY entity, tag)
+    SELECT entity, string_agg(tag || '=' || n, ',' ORDER BY tag) AS summary FROM k GROUP BY entity""")
 def reject_histogram(spark, sf_dir):
-    f = features(spark, sf_dir).withColumn("clean_visual", F.lit(0.0)).withColumn("finger", F.lit(0.0))
-    tags = f.select("entity", F.explode(F.split(F.regexp_replace(scores.suspicious_reasons(), r"=-?[0-9.]+", ""), ",")).alias("tag")).where("tag <> ''")
-    return stats.reason_histogram(tags, "tag", ["entity"])
+    tags = tagged(spark, sf_dir).select("entity", F.explode(F.split("tags", ",")).alias("tag")).where("tag <> ''")
+    return stats.reason_histogram(tags.withColumn("tag", F.split("tag", "=")[0]), "tag", ["entity"])
 
 
 @query(f"WITH {EV}, {SMOOTH} SELECT entity, pos, round(smooth, 4) AS smooth FROM sm")
@@ -325,31 +353,33 @@ def argmax_tiebreak(spark, sf_dir):
     return stats.argmax(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_totalprice"), -F.col("o_orderkey")], ["o_orderkey", "o_totalprice"])
 
 
-@query(f"""WITH RECURSIVE {EV}, s AS (SELECT entity, pos, t, value, row_number() {W} AS i FROM ev),
-    f AS (SELECT entity, i, pos, t, value, false AS closes, pos AS kp, t AS kt, value AS kv FROM s WHERE i = 1
-      UNION ALL SELECT s.entity, s.i, s.pos, s.t, s.value, s.t - f.kt >= {REACH},
-        CASE WHEN s.t - f.kt >= {REACH} OR s.value > f.kv THEN s.pos ELSE f.kp END, CASE WHEN s.t - f.kt >= {REACH} OR s.value > f.kv THEN s.t ELSE f.kt END,
-        CASE WHEN s.t - f.kt >= {REACH} OR s.value > f.kv THEN s.value ELSE f.kv END FROM f JOIN s ON s.entity = f.entity AND s.i = f.i + 1)
-    SELECT entity, kp AS pos, round(kv, 4) AS value FROM (SELECT *, lead(closes) OVER (PARTITION BY entity ORDER BY i) AS next FROM f) WHERE next OR next IS NULL""")
-def peak_thinning(spark, sf_dir):
-    return greedy.thin(event_series(spark, sf_dir), REACH, "value").select("entity", "pos", r("value", 4).alias("value"))
+#: Prefilter metrics of events, made from their ids and values, in SQL of both engines.
+METRICS = {
+    "paper_ratio": "0.60e0 + pos % 5 / 10e0", "motion": "pos % 7 / 70e0", "blur": "value + pos % 50", "bottom_dark": "pos % 11 / 15e0",
+    "edge_density": "pos % 13 / 100e0", "skin": "pos % 6 / 10e0", "bright_mean": "100e0 + pos % 90",
+    "area": "0.40e0 + pos % 7 / 10e0", "fill": "0.80e0 + pos % 4 / 20e0", "edge_motion": "pos % 10 / 12e0", "turn": "pos % 9 / 12e0", "text": "pos % 4 / 400e0",
+    "ham": "pos % 64", "sim": "pos % 30 / 30e0",
+}
+_METRICS = f"mt AS (SELECT ev.*, {_CHOSEN} AS chosen, {', '.join(f'{x} AS {k}' for k, x in METRICS.items())} FROM ev)"
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_series(spark, sf_dir).select("*", F.expr(_CHOSEN).alias("chosen"), *[F.expr(x).alias(k) for k, x in METRICS.items()])
 
 
-@query(f"""WITH {EV}, c AS (SELECT *, kind = 'purchase' AS chosen, value / 400 AS paper FROM ev), w AS (SELECT entity, t AS start, lead(t) {W} AS stop FROM c WHERE chosen),
-    g AS (SELECT * FROM w WHERE stop - start >= 1.5), i AS (SELECT g.*, c.pos, c.t, c.paper FROM c JOIN g ON g.entity = c.entity AND c.t > start AND c.t < stop WHERE NOT chosen AND c.kind = 'view')
-    SELECT entity, round(start, 3) AS start, pos FROM (SELECT *, row_number() OVER (PARTITION BY entity, start ORDER BY paper DESC, pos % 7 DESC, t, pos) AS k FROM i) WHERE k = 1""")
+@query(f"""WITH {EV}, {_METRICS}, w AS (SELECT entity, t AS start, lead(t) {W} AS stop FROM mt WHERE chosen),
+    i AS (SELECT w.entity, start, pos, blur, motion FROM w JOIN mt ON mt.entity = w.entity AND t > start + 0.05 AND t < stop - 0.05 WHERE stop - start >= 1.5 AND NOT chosen AND paper_ratio >= 0.75 AND motion <= 0.05
+      AND blur >= 80 AND bottom_dark <= 0.60 AND edge_density <= 0.10 AND skin <= 0.40 AND bright_mean >= 120)
+    SELECT entity, round(start, 3) AS start, pos FROM (SELECT *, row_number() OVER (PARTITION BY entity, start ORDER BY blur DESC, motion, pos) AS k FROM i) WHERE k = 1""")
 def blank_rescue(spark, sf_dir):
-    rows = event_series(spark, sf_dir).withColumn("chosen", F.expr(_CHOSEN)).withColumn("paper_ratio", F.col("value") / 400).withColumn("blur", F.col("pos") % 7)
-    return rescue.blank_rescue(rows, bucket=24 * HOUR, blank=F.expr("kind = 'view'")).select("entity", r("start", 3).alias("start"), "pos")
+    return rescue.blank_rescue(metrics(spark, sf_dir), bucket=24 * HOUR).select("entity", r("start", 3).alias("start"), "pos")
 
 
-@query(f"""WITH {EV}, f AS (SELECT entity, min(t) AS ft FROM ev WHERE {_CHOSEN} GROUP BY entity),
-    x AS (SELECT ev.* FROM ev JOIN f USING (entity) WHERE t < ft AND ft - t >= 1.5 AND (pos % 64 >= 22 OR value / 100 <= 0.55) AND value >= 0.5 AND (pos % 100) / 100 <= 0.5)
-    SELECT entity, arg_min(pos, t) AS pos FROM x GROUP BY entity""")
+@query(f"""WITH {EV}, {_METRICS}, f AS (SELECT entity, min(t) AS ft FROM mt WHERE chosen GROUP BY entity),
+    x AS (SELECT mt.* FROM mt JOIN f USING (entity) WHERE t < ft - 0.05 AND ft - t >= 1.5 AND area >= 0.55 AND fill >= 0.85 AND edge_motion <= 0.50 AND turn <= 0.50 AND blur >= 50 AND text >= 0.005 AND (ham >= 22 OR sim <= 0.55))
+    SELECT entity, pos FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY blur DESC, edge_motion, turn, t, pos) AS k FROM x) WHERE k = 1""")
 def leading_rescue(spark, sf_dir):
-    one = F.lit(1.0)
-    rows = event_series(spark, sf_dir).withColumn("chosen", F.expr(_CHOSEN)).withColumns({"area": one, "fill": one, "edge_motion": (F.col("pos") % 100) / 100, "turn": F.lit(0.0), "blur": F.lit(50.0), "text": F.col("value") / 100})
-    return rescue.leading_rescue(rows, F.col("pos") % 64, F.col("value") / 100)
+    return rescue.leading_rescue(metrics(spark, sf_dir), F.col("ham"), F.col("sim"))
 
 
 @query(f"""WITH {FX}, z AS (SELECT *, pos % 97 = 0 AS late, fill + area AS a, fill - area AS b FROM fx)
@@ -366,7 +396,7 @@ def cap_to_count(spark, sf_dir):
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("pos"), e.alias("v"), (F.size("embedding") + F.col("vec_id") % 9).cast("double").alias("text"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("pos"), e.alias("v"), (20 + F.col("vec_id") % 9 * 5).cast("double").alias("text"))
 
 
 def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +408,7 @@ def signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.select("entity", "pos", "v", "text", F.explode("next").alias("o")).select("entity", F.col("pos").alias("a"), F.col("o.pos").alias("b"), F.col("v").alias("va"), F.col("o.v").alias("vb"), F.col("text").alias("ta"), F.col("o.text").alias("tb"))
 
 
-SIG = """sg AS (SELECT label AS entity, vec_id AS pos, list_transform(embedding, lambda x: x::double) AS v, (len(embedding) + vec_id % 9)::double AS text,
+SIG = """sg AS (SELECT label AS entity, vec_id AS pos, list_transform(embedding, lambda x: x::double) AS v, (20 + vec_id % 9 * 5)::double AS text,
       row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
     pr AS (SELECT x.entity, x.pos AS a, y.pos AS b, x.v AS va, y.v AS vb, x.text AS ta, y.text AS tb FROM sg x JOIN sg y ON x.entity = y.entity AND y.i BETWEEN x.i + 1 AND x.i + 4)"""
 _HAM = "list_sum(list_transform(range(1, len(va)), lambda i: CASE WHEN (va[i + 1] > va[i]) <> (vb[i + 1] > vb[i]) THEN 1 ELSE 0 END))"
@@ -392,13 +422,6 @@ _SIM = f"(0.85 * list_dot_product({_z('va')}, {_z('vb')}) / len(va) + 0.15 * (1
 _REL = "abs(ta - tb) / greatest(ta, tb)"
 
 
-@query(f"WITH {SIG} SELECT a, b, {_HAM}::bigint AS ham FROM pr WHERE {_HAM} <= 28")
-def dhash_hamming_pairs(spark, sf_dir):
-    p = signature_pairs(spark, sf_dir)
-    ham = hamming(difference_hash(F.col("va"), 64), difference_hash(F.col("vb"), 64))
-    return p.select("a", "b", ham.cast("long").alias("ham")).where("ham <= 28")
-
-
 @query(f"WITH {SIG} SELECT a, b, round({_SIM}, 4) AS sim FROM pr")
 def zscore_similarity(spark, sf_dir):
     return signature_pairs(spark, sf_dir).select("a", "b", r(similarity(F.col("va"), F.col("vb")), 4).alias("sim"))
@@ -421,25 +444,22 @@ def thumbnail_match(spark, sf_dir):
 def measured_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = signature_pairs(spark, sf_dir)
     ham = hamming(difference_hash(F.col("va"), 64), difference_hash(F.col("vb"), 64))
-    return p.select("a", "b", ham.alias("ham"), r(similarity(F.col("va"), F.col("vb")), 6).alias("sim"), scores.text_difference(F.col("ta"), F.col("tb")).alias("text_rel"), F.lit(0.0).alias("profile"), F.lit(0.0).alias("thumb"))
+    profile = shift_correlation(z_scores(F.col("va")), z_scores(F.col("vb")), 64, 6)
+    thumb = bit_agreement(median_bits(F.col("va")), median_bits(F.col("vb")), 52)
+    return p.select("a", "b", ham.alias("ham"), r(similarity(F.col("va"), F.col("vb")), 6).alias("sim"), scores.text_difference(F.col("ta"), F.col("tb")).alias("text_rel"), r(profile, 6).alias("profile"), r(thumb, 6).alias("thumb"))
+
+
+_SHIFTED = """greatest(-1, list_max(list_transform(range(-6, 7), lambda s: CASE WHEN s >= 0 THEN list_dot_product(x[s + 1:64], y[1:64 - s]) / (64 - s) ELSE list_dot_product(x[1:64 + s], y[1 - s:64]) / (64 + s) END)))"""
+_THUMB = "list_sum(list_transform(range(1, 53), lambda i: CASE WHEN (va[i] > list_median(va)) = (vb[i] > list_median(vb)) THEN 1 ELSE 0 END)) / 52.0"
 
 
-@query(f"""WITH {SIG}, m AS (SELECT a, b, {_HAM} AS ham, round({_SIM}, 6) AS sim, {_REL} AS rel FROM pr)
-    SELECT a, b, (rel <= 0.35 AND (sim >= 0.62 OR ham <= 22)) OR (sim >= 0.89 AND ham <= 11) AS relaxed,
+@query(f"""WITH {SIG}, z AS (SELECT *, {_z('va')} AS x, {_z('vb')} AS y FROM pr), m AS (SELECT a, b, {_HAM} AS ham, round({_SIM}, 6) AS sim, {_REL} AS rel, round({_SHIFTED}, 6) AS prof, round({_THUMB}, 6) AS thumb FROM z)
+    SELECT a, b, (rel <= 0.35 AND (sim >= 0.62 OR ham <= 22 OR prof >= 0.45)) OR (rel <= 0.45 AND thumb >= 0.78) OR (sim >= 0.89 AND ham <= 11) AS relaxed,
       (sim >= 0.55 AND ham <= 18) OR ((sim >= 0.35 OR ham <= 28) AND rel <= 0.25) OR (rel <= 0.15 AND ham <= 34) AS alternative, sim >= 0.89 AND ham <= 11 AS strict FROM m""")
 def relaxed_same_pairs(spark, sf_dir):
     return measured_pairs(spark, sf_dir).select("a", "b", same.relaxed().alias("relaxed"), same.alternative().alias("alternative"), same.strict().alias("strict"))
 
 
-@query(f"""WITH {SIG}, m AS (SELECT b, max({_SIM}) AS s, min({_HAM}) AS h FROM pr GROUP BY b)
-    SELECT pos, round(coalesce(0.55 * (1 - greatest(0, s)) + 0.45 * least(1, h / 96.0), 1), 4) AS novelty FROM sg LEFT JOIN m ON m.b = sg.pos""")
-def novelty_score(spark, sf_dir):
-    p = signature_pairs(spark, sf_dir)
-    ham = hamming(difference_hash(F.col("va"), 64), difference_hash(F.col("vb"), 64))
-    best = p.groupBy(F.col("b").alias("pos")).agg(F.max(similarity(F.col("va"), F.col("vb"))).alias("s"), F.min(ham).alias("h"))
-    return signatures(spark, sf_dir).select("pos").join(best, "pos", "left").select("pos", r(same.novelty(F.col("s"), F.col("h")), 4).alias("novelty"))
-
-
 @query(f"""WITH {SIG}, m AS (SELECT a, b, {_HAM} AS ham, round({_SIM}, 6) AS sim, {_REL} AS rel, (a % 50) / 10.0 AS dt, (a % 90) / 100.0 AS ta, (b % 90) / 100.0 AS tb, 1.0 + a % 40 AS ba, 1.0 + b % 40 AS bb,
       (a % 7) / 10.0 AS thumb, (b % 7) / 10.0 AS prof, (a % 11) = 0 AS dis, (a % 30) / 100.0 AS ia, (b % 30) / 100.0 AS ib, (a + b) % 30 AS fh FROM pr),
     c AS (SELECT *, least(ba, bb) / greatest(ba, bb) AS ratio, greatest(ta, tb) AS turn FROM m),
@@ -498,59 +518,4 @@ def selection_changes(spark, sf_dir):
     return selection.changed(windows.peaks_by_time(rows, "norm", "norm", REACH, 0.28), rows.where("value > 200"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as items of folds, with a time and penalties made from their id."""
-    p = F.col("pos")
-    return signatures(spark, sf_dir).select(F.col("entity").cast("long").alias("entity"), "pos", F.col("v").alias("vec"), "text", (p * 0.4).alias("t"), ((p % 17) / 17.0).alias("peak"), ((p % 13) / 13.0).alias("norm"), ((p % 5) / 10.0).alias("hand"), ((p % 7) / 10.0).alias("hand_text"), ((p % 3) / 4.0).alias("finger"), (p % 11 * 30.0).alias("blur"))
-
-
-@query()
-def first_fit_cluster(spark, sf_dir):
-    return greedy.cluster_table(items(spark, sf_dir), high_hand=True)
-
-
-@query()
-def adjacent_dedup(spark, sf_dir):
-    def fold(own):
-        left, merges = greedy.dedup_adjacent(own, greedy.relaxed_same, lambda x: greedy.get(x, "peak"))
-        lost = {b["pos"]: a["pos"] for a, b in merges}
-        return [{"pos": x["pos"], "kept_over": lost.get(x["pos"])} for x in own]
-
-    return greedy.per_entity(items(spark, sf_dir), fold, "pos long, kept_over double")
-
-
-@query()
-def recent_dedup(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), lambda own: [{"pos": x["pos"]} for x in greedy.dedup_recent(own)[0]], "pos long")
-
-
-@query()
-def expected_count_fill(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), lambda own: [{"pos": x["pos"]} for x in greedy.expected_count(greedy.chronological(own, 5), own, 5)], "pos long")
-
-
-@query()
-def force_reduce(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), lambda own: [{"pos": x["pos"]} for x in greedy.force_reduce(own, 3)], "pos long")
-
-
-def _replacements(how):
-    def fold(own):
-        return [{"pos": x["pos"], "new_pos": x["new_pos"], "gain": x["gain"], "checked": x["checked"], "reasons": x["reasons"]} for x in how(sorted(own, key=lambda x: x["t"])[::4], own)]
-
-    return fold
-
-
-@query()
-def alternative_search(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), _replacements(greedy.alternatives), "pos long, new_pos double, gain double, checked int, reasons string")
-
-
-@query()
-def quality_refinement(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), _replacements(greedy.refinements), "pos long, new_pos double, gain double, checked int, reasons string")
-
-
-@query()
-def finger_relief(spark, sf_dir):
-    return greedy.per_entity(items(spark, sf_dir), _replacements(greedy.finger_reliefs), "pos long, new_pos double, gain double, checked int, reasons string")
+from spindrift import fold_queries  # noqa: E402, F401 (registers its queries here)

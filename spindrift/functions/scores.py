@@ -44,8 +44,8 @@ def raw_score_a(p: Params = DEFAULTS) -> Column:
 
 def raw_score_b() -> Column:
     """Without normalised features: used for all rows once frames were added late."""
-    plain = weighted(area=1.45, fill=1.0, contact=1.0, stability=1.25, text=1.10)
-    return plain + 0.65 * F.log1p("blur") / 8.0 - weighted(**PENALTIES_A)
+    good = weighted(area=1.40, fill=0.85, contact=0.85, stability=0.95) + 0.65 * (F.log1p("blur") / 8.0) + weighted(text=0.50)
+    return good - weighted(hand=0.85, hand_text=2.40, edge_fg=1.55, bottom_hand=0.75, turn=0.70)
 
 
 def deskew_penalty(angle: Column, threshold: float, weight: float) -> Column:
@@ -99,9 +99,9 @@ def is_dirty(p: Params = DEFAULTS) -> Column:
     return (c("hand_text") >= p.dirty_hand_text) | (c("bottom_hand") >= p.dirty_bottom) | ((c("hand") >= p.dirty_hand) & (c("hand_text") >= 0.45))
 
 
-def suspicious_reasons(p: Params = DEFAULTS) -> Column:
-    """Comma-joined tags with values; empty for an unsuspicious observation."""
-    two = lambda x: F.format_string("%.2f", x)
+def suspicious_reasons(p: Params = DEFAULTS, nudge: float = 0.0) -> Column:
+    """Comma-joined tags with values (shown with `nudge` added); empty for an unsuspicious observation."""
+    two = lambda x: F.format_string("%.2f", x + nudge if nudge else x)
     tests = [
         ("hand", c("hand"), p.refine_hand),
         ("hand_text", c("hand_text"), p.refine_hand_text),

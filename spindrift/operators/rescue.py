@@ -11,24 +11,26 @@ from spindrift.operators.windows import gaps, in_order
 from spindrift.params import DEFAULTS, Params
 
 
-def blank_rescue(rows: DataFrame, p: Params = DEFAULTS, bucket: float = 60.0, blank: Column | None = None) -> DataFrame:
+def blank_rescue(rows: DataFrame, p: Params = DEFAULTS, bucket: float = 60.0) -> DataFrame:
     """entity, start, stop, pos: for each gap between chosen rows (ends excluded) of at least blank_gap_sec the
-    best blank row inside: most paper, then sharpest, then earliest. `rows` has chosen and prefilter metrics."""
+    sharpest blank row inside, then the stillest, then the first. `rows` has chosen and prefilter metrics."""
     wide = gaps(rows, anchors=False).where(F.col("gap") >= p.blank_gap_sec)
-    inside = in_gaps(rows.where(~F.col("chosen") & (is_blank(p) if blank is None else blank)), wide, bucket)
-    best = inside.groupBy("entity", "start", "stop").agg(F.max_by("pos", F.struct("paper_ratio", "blur", -F.col("t"), -F.col("pos"))).alias("pos"))
+    inside = in_gaps(rows.where(~F.col("chosen") & is_blank(p)), wide, bucket).where((F.col("t") > F.col("start") + 0.05) & (F.col("t") < F.col("stop") - 0.05))
+    best = inside.groupBy("entity", "start", "stop").agg(F.max_by("pos", F.struct("blur", -F.col("motion"), -F.col("pos"))).alias("pos"))
     return best.select("entity", "start", "stop", "pos")
 
 
 def leading_rescue(rows: DataFrame, ham: Column, sim: Column, p: Params = DEFAULTS) -> DataFrame:
-    """entity, pos: the earliest row before the first chosen one that is still, sharp and unlike it.
+    """entity, pos: of the rows before the first chosen one that are still, readable and unlike it, the
+    sharpest, then the stillest, the least turned, the earliest.
 
     ham and sim compare each row with the entity's first chosen row.
     """
     first = rows.where("chosen").groupBy("entity").agg(F.min("t").alias("first_t"))
-    early = rows.join(first, "entity").where(F.col("t") < F.col("first_t"))
+    early = rows.join(first, "entity").where(F.col("t") < F.col("first_t") - 0.05)
     good = early.where(is_leading(F.col("first_t") - F.col("t"), ham, sim, p))
-    return good.groupBy("entity").agg(F.min_by("pos", F.struct("t", "pos")).alias("pos"))
+    order = F.struct("blur", -F.col("edge_motion"), -F.col("turn"), -F.col("t"), -F.col("pos"))
+    return good.groupBy("entity").agg(F.max_by("pos", order).alias("pos"))
 
 
 def extra_rows(rows: DataFrame, wide: DataFrame, most: int = 24, bucket: float = 60.0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import kernels, scores
+from spindrift.functions.vectors import difference_hash
 from spindrift.operators import greedy, selection, stats, windows
 from spindrift.params import DEFAULTS, LOWER_IS_BETTER, Params
 
@@ -97,18 +98,13 @@ def representatives(frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     peaks = windows.peaks_with_blur(rows, "peak", "norm", "blur", p.min_peak_distance_sec, 0.0, p.peak_tie_eps, p.peak_tie_blur, p.peak_tie_factor, bucket=60.0)
     peaks = peaks.where(F.col("norm") >= F.col("min_norm"))
 
-    def fold(items: list[dict]) -> list[dict]:
-        winners = [(greedy.cluster_winner(m, p), len(m)) for m, _ in greedy.first_fit(items, p)]
-        sizes = {w["pos"]: n for w, n in winners}
-        kept, _ = greedy.dedup_recent([w for w, _ in winners], p)
-        kept, _ = greedy.dedup_adjacent(kept, greedy.relaxed_same, greedy.refine, p)
-        return [{"pos": x["pos"], "t": x["t"], "peak": x["peak"], "cluster_size": sizes[x["pos"]]} for x in kept]
+    def fold(s: greedy.Series) -> list[dict]:
+        winners = {greedy.cluster_winner(s, m, p): len(m) for m, _ in greedy.first_fit(s, p)}
+        kept, _ = greedy.dedup_recent(s, list(winners), p)
+        kept, _ = greedy.dedup_adjacent(s, kept, p)
+        return [{"pos": int(s.pos[x]), "t": float(s.t[x]), "peak": float(s["peak"][x]), "cluster_size": winners[x]} for x in kept]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        items = [{k: (np.asarray(v) if k in ("vec", "profile", "thumb") else v) for k, v in r.items()} for r in frame.to_dict("records")]
-        out = pd.DataFrame(fold(items), columns=["pos", "t", "peak", "cluster_size"])
-        out.insert(0, "entity", frame["entity"].iloc[0])
-        return out
-
-    chosen = peaks.groupBy("entity").applyInPandas(run, "entity string, pos long, t double, peak double, cluster_size int")
+    thinned = greedy.thin(peaks.withColumn("clean", scores.cleanliness()).withColumn("bits", difference_hash(F.col("vec"), 256)), p.min_peak_distance_sec, p)
+    peaks = peaks.join(thinned.select("entity", "pos"), ["entity", "pos"], "left_semi")
+    chosen = greedy.per_entity(peaks.drop("found"), fold, "pos long, t double, peak double, cluster_size int")
     return windows.numbered(chosen)

@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.functions import kernels, scores
+from spindrift.functions import kernels, scores, vectors
 from spindrift.operators import audit, greedy, selection, stats, windows
+from spindrift.params import DEFAULTS
 from spindrift.plans.representatives import prefilter_metrics, representatives
 from spindrift.sources import sinks
 from spindrift.sources.frames import FrameSource, synthetic
@@ -37,46 +38,74 @@ def test_robust_norm_rules(spark):
 def test_folds_hold_their_promises(seed, n):
     rng = np.random.default_rng(seed)
     base = rng.random((3, 64))
-    made = [{"pos": i, "t": float(i) * 0.7, "vec": base[rng.integers(0, 3)] + rng.random(64) * 0.05, "text": 0.1, "peak": float(rng.random()), "norm": float(rng.random())} for i in range(n)]
-    clusters = greedy.first_fit(made)
-    assert sorted(m["pos"] for c, _ in clusters for m in c) == list(range(n))
-    kept, merges = greedy.dedup_adjacent(made, greedy.relaxed_same, lambda x: x["peak"])
+    s = greedy.Series.of({"pos": i, "t": float(i) * 0.7, "vec": base[rng.integers(0, 3)] + rng.random(64) * 0.05, "text": 0.1, "peak": float(rng.random()), "norm": float(rng.random())} for i in range(n))
+    clusters = greedy.first_fit(s)
+    assert sorted(m for c, _ in clusters for m in c) == list(range(n))
+    same = lambda a, b: s.relaxed(a, b, DEFAULTS)
+    kept, merges = greedy.dedup_adjacent(s, same=same)
     assert len(kept) + len(merges) == n
-    again, none = greedy.dedup_adjacent(kept, greedy.relaxed_same, lambda x: x["peak"])
+    again, none = greedy.dedup_adjacent(s, kept, same=same)
     assert not none and len(again) == len(kept)
-    assert len(greedy.force_reduce(made, 2)) == min(2, n)
-    chosen = greedy.expected_count(greedy.chronological(made, 3), made, 3)
-    assert len({x["pos"] for x in chosen}) == len(chosen) <= 3
-    taken, dropped = greedy.dedup_recent(made)
+    assert len(greedy.force_reduce(s, 2)) == min(2, n)
+    chosen = greedy.expected_count(s, greedy.chronological(s, 3), 3)
+    assert len(set(chosen)) == len(chosen) <= 3 and chosen == sorted(chosen)
+    taken, dropped = greedy.dedup_recent(s)
     assert len(taken) + len(dropped) == n
 
 
+def test_likeness_rows_equal_the_expressions(spark):
+    rng = np.random.default_rng(9)
+    v = rng.random((6, 64))
+    s = greedy.Series.of({"pos": i, "t": float(i), "vec": x, "profile": (x - x.mean()) / x.std(), "thumb": x > np.median(x), "text": float(i)} for i, x in enumerate(v))
+    df = spark.createDataFrame([(i, j, v[i].tolist(), v[j].tolist()) for i in range(6) for j in range(6)], "i int, j int, a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    sim, ham = vectors.similarity(a, b), vectors.hamming(vectors.difference_hash(a, 64), vectors.difference_hash(b, 64))
+    profile, thumb = vectors.shift_correlation(vectors.z_scores(a), vectors.z_scores(b), 64, 14), vectors.bit_agreement(vectors.median_bits(a), vectors.median_bits(b), 52)
+    for r in df.select("i", "j", sim.alias("sim"), ham.alias("ham"), profile.alias("profile"), thumb.alias("thumb")).collect():
+        assert s.ham(r.i, r.j) == r.ham
+        for mine, theirs in ((s.sim(r.i, r.j), r.sim), (s.profile(r.i, r.j), r.profile), (s.thumb(r.i, r.j), r.thumb)):
+            assert abs(mine - theirs) < 1e-9
+
+
+def unlike(n, **more):
+    """Items that look like nothing else, one a second."""
+    rng = np.random.default_rng(1)
+    return [{"pos": i, "t": float(i), "vec": rng.random(64), "text": 0.2 + 0.6 * (i % 2), "peak": 0.5, "norm": 0.5, **{k: v[i] if isinstance(v, list) else v for k, v in more.items()}} for i in range(n)]
+
+
+def test_expected_chain_on_small_cases():
+    s = greedy.Series.of(unlike(12, peak=[0.1, 0.9] + [0.5] * 10))
+    e = greedy.Expected(s, 4)
+    assert e.rescue_first([6, 8, 10]) == [1, 6, 8, 10]  # a late first item: the best early one joins
+    assert len(e.rescue_first([6, 7, 9, 11])) == 4 and 1 in e.rescue_first([6, 7, 9, 11])
+    assert e.rescue_first([1, 6, 8]) == [1, 6, 8]
+    assert e.trim([0, 1, 2, 3, 11]) in ([0, 1, 3, 11], [0, 1, 2, 11], [1, 2, 3, 11], [0, 2, 3, 11])
+    filled = e.fill([0, 11])
+    assert len(filled) == 4 and {0, 1, 11} < set(filled)
+    assert len(greedy.expected_count(s, [], 4)) == 4
+    same = np.linspace(0, 1, 64)
+    made = unlike(6, clean_visual=[0.0, 0.0, 0.0, 0.5, 0.0, 0.0], hand=[0.0, 0.0, 0.6, 0.0, 0.0, 0.0], area=1.0)
+    for i in (2, 3):
+        made[i] |= {"vec": same, "profile": (same - same.mean()) / same.std(), "thumb": same > 0.5}
+    for i in (0, 1, 4, 5):
+        made[i] |= {"profile": np.zeros(64), "thumb": np.zeros(64, bool)}
+    e = greedy.Expected(greedy.Series.of(made), 3)
+    assert e.same_page(2) == [2, 3] and e.cleaner_equivalents([0, 2, 5]) == [0, 3, 5]
+    # An early first item makes way for the earliest with as much text and area.
+    made = unlike(6, text=0.2, area=1.0)
+    assert greedy.Expected(greedy.Series.of(made), 3).cleaner_equivalents([1, 4]) == [0, 4]
+
+
 def test_replacements_use_each_candidate_once():
     v = np.linspace(0, 1, 64)
-    pool = [{"pos": i, "t": i * 0.2, "vec": v, "text": 0.1, "hand": 0.0, "hand_text": 0.9 if i in (0, 4) else 0.0, "blur": 100.0, "raw": 1.0, "finger": 0.5 if i in (0, 4) else 0.0} for i in range(5)]
+    pool = [{"pos": i, "t": i * 0.2, "vec": v, "text": 0.1, "hand_text": 0.9 if i in (0, 4) else 0.0, "blur": 100.0, "raw": 1.0, "finger": 0.5 if i in (0, 4) else 0.0} for i in range(5)]
+    s = greedy.Series.of(pool)
     # A candidate that looks like another winner is refused by finger relief, so it gets one winner.
-    for how, winners in ((greedy.alternatives, [pool[0], pool[4]]), (greedy.finger_reliefs, [pool[0]])):
-        rows = how(winners, pool)
+    for how, winners in ((greedy.alternatives, [0, 4]), (greedy.finger_reliefs, [0])):
+        rows = how(s, winners)
         new = [r["new_pos"] for r in rows if r["new_pos"] is not None]
         assert new and len(set(new)) == len(new) and not set(new) & {0, 4}
-
-
-def test_thinning_keeps_distance(spark):
-    rng = np.random.default_rng(4)
-    rows = [(e, i, float(t), float(rng.random())) for e in range(5) for i, t in enumerate(np.sort(rng.random(60) * 40))]
-    got = greedy.thin(spark.createDataFrame(rows, "entity long, pos long, t double, s double"), 0.9, "s").orderBy("entity", "t").collect()
-    for a, b in zip(got, got[1:]):
-        assert a.entity != b.entity or b.t - a.t > 0
-    expected = 0
-    for e in range(5):
-        kept = []
-        for _, p, t, s in sorted((r for r in rows if r[0] == e), key=lambda r: r[2]):
-            if kept and t - kept[-1][0] < 0.9:
-                kept[-1] = (t, s) if s > kept[-1][1] else kept[-1]
-            else:
-                kept.append((t, s))
-        expected += len(kept)
-    assert len(got) == expected
+    assert greedy.finger_reliefs(s, [0, 4])[0]["reasons"] == "twin=2"
 
 
 def test_prefilter_covers_global_top(spark):
@@ -168,3 +197,13 @@ def test_streamed_lags_equal_batch(spark, tmp_path):
     streamed = sorted((r.entity, r.pos, r.prev_value, r.seen_value) for r in spark.sql("select * from lagged").collect() if True)
     batch = windows.lags(spark.createDataFrame(rows, schema), ["value"], F.col("found")).collect()
     assert sorted(map(str, streamed)) == sorted(str((r.entity, r.pos, r.prev_value, r.seen_value)) for r in batch)
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = {1: rng.integers(0, 50, 3000).astype(float), 2: rng.standard_normal(777), 3: np.array([4.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "entity long, v double")
+    for buffered in (0, 1000, 10**6):
+        for r in stats.five_numbers(df, "v", ["entity"], buffered).collect():
+            v = values[r.entity]
+            assert np.allclose([r.p10, r.p25, r.p50, r.p75, r.p90], np.percentile(v, [10, 25, 50, 75, 90])) and np.isclose(r.mad, np.median(np.abs(v - np.median(v)))) and r.n == len(v)
