@@ -302,8 +302,10 @@ def upper_median_gap(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, {_TYPICAL}, c AS (SELECT entity, t, pos FROM ev WHERE {_CHOSEN} UNION ALL SELECT entity, min(t), -1 FROM ev GROUP BY entity UNION ALL SELECT entity, max(t), 4611686018427387904 FROM ev GROUP BY entity),
-    w AS (SELECT entity, t AS start, lead(t) {W} AS stop FROM c), wide AS (SELECT w.* FROM w JOIN md USING (entity) WHERE stop - start > typical * 1.8 AND stop - start >= 4),
-    x AS (SELECT DISTINCT ev.entity, ev.pos, ev.t FROM ev JOIN wide ON wide.entity = ev.entity AND ev.t > start AND ev.t < stop WHERE NOT ({_CHOSEN}))
+    w AS (SELECT entity, t AS start, lead(t) {W} AS stop FROM c), sp AS (SELECT entity, max(t) - min(t) AS span FROM ev GROUP BY entity HAVING count(*) FILTER ({_CHOSEN}) > 0),
+    over AS (SELECT w.* FROM w JOIN sp USING (entity) LEFT JOIN md USING (entity) WHERE stop - start > 1.8 * greatest(0.5, coalesce(typical, span))),
+    wide AS (SELECT * FROM over WHERE entity IN (SELECT entity FROM over GROUP BY entity HAVING max(stop - start) >= 4)),
+    x AS (SELECT DISTINCT ev.entity, ev.pos, ev.t FROM ev JOIN wide ON wide.entity = ev.entity AND ev.t >= start AND ev.t <= stop WHERE NOT ({_CHOSEN}))
     SELECT entity, pos FROM (SELECT *, row_number() {W} AS k FROM x) WHERE k <= 24""")
 def gap_extra_rows(spark, sf_dir):
     rows = event_series(spark, sf_dir).withColumn("chosen", F.expr(_CHOSEN))

@@ -9,48 +9,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def vector_hash(v: np.ndarray) -> np.ndarray:
-    return np.diff(np.asarray(v, np.float64)) > 0
-
-
-def hash_distance(a: np.ndarray, b: np.ndarray) -> int:
-    return int((vector_hash(a) != vector_hash(b)).sum())
-
-
 def _z(v: np.ndarray) -> np.ndarray:
     v = np.asarray(v, np.float64).ravel()
     sd = v.std()
     return (v - v.mean()) / sd if sd > 1e-12 else np.zeros_like(v)
 
 
-def vector_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.asarray(a, np.float64).ravel(), np.asarray(b, np.float64).ravel()
-    return float(0.85 * (_z(x) * _z(y)).mean() + 0.15 * (1.0 - ((x - y) ** 2).mean()))
-
-
-def shift_correlation(a: np.ndarray, b: np.ndarray, shift: int = 14, least: int = 8) -> float:
-    n = min(len(a), len(b))
-    best = -1.0
-    for s in range(-shift, shift + 1):
-        if n - abs(s) >= least:
-            x, y = (a[s:n], b[: n - s]) if s >= 0 else (a[: n + s], b[-s:n])
-            best = max(best, float((x * y).mean()))
-    return best
-
-
-def profile_correlation(a: dict, b: dict) -> float:
-    x, y = a.get("profile", a["vec"]), b.get("profile", b["vec"])
-    return shift_correlation(_z(x), _z(y)) if len(x) == len(y) else 0.0
-
-
-def match_ratio(a: dict, b: dict, share: float = 26 / 32) -> float:
-    """Equal median bits in the first rows of two thumbnails."""
-    bits = lambda v: np.asarray(v).ravel() > np.median(v)
-    x, y = bits(a.get("thumb", a["vec"])), bits(b.get("thumb", b["vec"]))
-    n = round(len(x) * share)
-    return float((x[:n] == y[:n]).mean()) if len(x) == len(y) and n else 0.0
-
-
 def gray(image: np.ndarray) -> np.ndarray:
     return image[..., :3].astype(np.float64) @ np.array([0.114, 0.587, 0.299])
 
@@ -196,6 +160,19 @@ def page_quad(image: np.ndarray) -> np.ndarray | None:
     return p[[(xs + ys).argmin(), (ys - xs).argmin(), (xs + ys).argmax(), (ys - xs).argmax()]].astype(np.float64)
 
 
+def blank_page(image: np.ndarray, long_side: int = 1800) -> np.ndarray:
+    """A blank page's raster: its quad made upright or, where none is found, the centre of the image (15 to 85 % of
+    the width, 10 to 90 % of the height) at the long side. Neither straightened nor enhanced: it has no lines."""
+    quad = page_quad(image)
+    if quad is not None:
+        return warp(image, quad, long_side)
+    h, w = image.shape[:2]
+    part = image[int(h * 0.10) : int(h * 0.90), int(w * 0.15) : int(w * 0.85)]
+    scale = long_side / max(part.shape[:2])
+    size = [max(1, round(n * scale)) for n in part.shape[:2]]
+    return np.stack([box_resize(part[:, :, c].astype(np.float64), *size) for c in range(3)], axis=2).round().astype(np.uint8)
+
+
 def skew_angle(image: np.ndarray, most: float = 18.0, step: float = 0.5) -> float:
     """Degrees by which rows must turn for their ink to be most uneven."""
     g = gray(image)

@@ -60,9 +60,9 @@ def complete(timeline: DataFrame, rows: DataFrame, on: Sequence[str], defaults:
 
 
 def in_gaps(rows: DataFrame, gaps: DataFrame, width: float) -> DataFrame:
-    """Rows strictly inside a gap (entity, start, stop) of their entity, with the gap; a range join on
+    """Rows within a gap (entity, start, stop) of their entity, ends included, with the gap; a range join on
     buckets of `width` seconds."""
     g = gaps.select(F.col("entity").alias("g_entity"), "start", "stop").withColumn("g_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
     own = rows.withColumn("__b", F.floor(F.col("t") / width))
-    inside = (F.col("entity") == F.col("g_entity")) & (F.col("__b") == F.col("g_bucket")) & (F.col("t") > F.col("start")) & (F.col("t") < F.col("stop"))
+    inside = (F.col("entity") == F.col("g_entity")) & (F.col("__b") == F.col("g_bucket")) & (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("stop"))
     return own.join(g, inside).drop("g_entity", "g_bucket", "__b")

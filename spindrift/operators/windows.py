@@ -140,8 +140,23 @@ def upper_median_gap(rows: DataFrame) -> DataFrame:
 
 
 def wide_gaps(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Gaps, ends included, over gap_multiple x the typical gap and over gap_min_sec."""
-    return gaps(rows).join(upper_median_gap(rows), "entity").where((F.col("gap") > F.col("typical") * p.gap_multiple) & (F.col("gap") >= p.gap_min_sec))
+    """entity, start, stop, gap and typical of the gaps, ends included, that are wide for the series.
+
+    Typical is half a second at least: the upper median gap between chosen rows (the whole span, with one of
+    them), and gaps over `gap_multiple` times that count in series that have one of gap_min_sec. With an
+    expected count it is the span over the count, and inner gaps count from 1.6 times, ends from 1.4 times it.
+    """
+    ends = rows.groupBy("entity").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if("chosen").alias("chosen_n")).where("chosen_n > 0")
+    g = gaps(rows).join(ends, "entity")
+    if p.expected > 0:
+        g = g.withColumn("typical", F.greatest(F.lit(0.5), (F.col("t1") - F.col("t0")) / F.lit(float(p.expected))))
+        outer = (F.col("start") == F.col("t0")) | (F.col("stop") == F.col("t1"))
+        found = g.where(F.col("gap") > F.col("typical") * F.when(outer, 1.4).otherwise(1.6))
+    else:
+        g = g.join(upper_median_gap(rows), "entity", "left").withColumn("typical", F.greatest(F.lit(0.5), F.coalesce("typical", F.col("t1") - F.col("t0"))))
+        over = g.where(F.col("gap") > F.col("typical") * p.gap_multiple)
+        found = over.join(over.groupBy("entity").agg(F.max("gap").alias("__most")).where(F.col("__most") >= p.gap_min_sec).select("entity"), "entity", "left_semi")
+    return found.select("entity", "start", "stop", "gap", "typical")
 
 
 def centrality(t: Column, start: Column, stop: Column) -> Column:

@@ -84,6 +84,29 @@ def scored(features: DataFrame, p: Params = DEFAULTS, radius: int = 0) -> DataFr
     return rows.withColumn("clean_visual", scores.clean_visual_score()).withColumn("finger", scores.finger_penalty())
 
 
+def chosen_items(s: greedy.Series, p: Params) -> list[dict]:
+    """From the peaks of a series to what is shown: clusters, their winners, and either the expected count with its
+    repairs or, without one, duplicates dropped; then better pictures, and a first page that the peaks missed."""
+    clusters = [m for m, _ in greedy.first_fit(s, p, members=np.flatnonzero(s["is_peak"] > 0).tolist())]
+    if p.expected > 0 and clusters:
+        clusters = greedy.force_reduce(s, p.expected, clusters=clusters)
+    sizes = {greedy.cluster_winner(s, m, p): len(m) for m in clusters}
+    kept = sorted(sizes)
+    kept = greedy.expected_count(s, kept, p.expected, p) if p.expected > 0 else greedy.dedup_recent(s, kept, p)[0]
+    number = {int(pos): i for i, pos in enumerate(s.pos)}
+    for better in (greedy.refinements, greedy.finger_reliefs):
+        moved = {number[r["pos"]]: number[r["new_pos"]] for r in better(s, kept, p) if r["new_pos"] is not None}
+        sizes |= {new: sizes.get(old, 1) for old, new in moved.items()}
+        kept = sorted(moved.get(x, x) for x in kept)
+    if p.expected > 0:
+        kept = sorted(sorted(kept, key=lambda x: -s["peak"][x])[: p.expected])
+    else:
+        kept, _ = greedy.dedup_adjacent(s, kept, p)
+        first = greedy.leading(s, kept, p)
+        kept = kept if first is None else [first, *kept]
+    return [{"pos": int(s.pos[x]), "t": float(s.t[x]), "peak": float(s["peak"][x]), "cluster_size": sizes.get(x, 1)} for x in kept]
+
+
 def representatives(frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """entity, pos, t, page, peak and cluster_size of the chosen frames of each recording.
 
@@ -98,13 +121,7 @@ def representatives(frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     peaks = windows.peaks_with_blur(rows, "peak", "norm", "blur", p.min_peak_distance_sec, 0.0, p.peak_tie_eps, p.peak_tie_blur, p.peak_tie_factor, bucket=60.0)
     peaks = peaks.where(F.col("norm") >= F.col("min_norm"))
 
-    def fold(s: greedy.Series) -> list[dict]:
-        winners = {greedy.cluster_winner(s, m, p): len(m) for m, _ in greedy.first_fit(s, p)}
-        kept, _ = greedy.dedup_recent(s, list(winners), p)
-        kept, _ = greedy.dedup_adjacent(s, kept, p)
-        return [{"pos": int(s.pos[x]), "t": float(s.t[x]), "peak": float(s["peak"][x]), "cluster_size": winners[x]} for x in kept]
-
     thinned = greedy.thin(peaks.withColumn("clean", scores.cleanliness()).withColumn("bits", difference_hash(F.col("vec"), 256)), p.min_peak_distance_sec, p)
-    peaks = peaks.join(thinned.select("entity", "pos"), ["entity", "pos"], "left_semi")
-    chosen = greedy.per_entity(peaks.drop("found"), fold, "pos long, t double, peak double, cluster_size int")
+    marked = rows.join(thinned.select("entity", "pos", F.lit(1.0).alias("is_peak")), ["entity", "pos"], "left").withColumn("gray", scores.gray_penalty())
+    chosen = greedy.per_entity(marked.drop("found"), lambda s: chosen_items(s, p), "pos long, t double, peak double, cluster_size int")
     return windows.numbered(chosen)
