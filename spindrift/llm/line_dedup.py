@@ -48,8 +48,8 @@ WORD_BITS = 52
 WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Kinds of postings by number of words: from, to, words of the parity sketch. A pair within the length
 #: filter is always in one kind together.
-KINDS = ((JOINED, 100, 1), (80, 400, 4), (320, 1 << 31, 16))
-SIZES = ("u1", "<u2", "<u4")
+KINDS = ((JOINED, 60, 1), (48, 130, 2), (104, 400, 4), (320, 1 << 31, 16))
+SIZES = ("u1", "u1", "<u2", "<u4")
 HOT_LINES = 1 << 16
 POSTINGS_A_BUCKET = 250_000
 FLUSH_BYTES = 12 << 20
