@@ -26,9 +26,11 @@ BATCH_BYTES = 8 << 20
 
 
 def steady(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES."""
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES, if it is higher."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+    held_to = (spark.conf.get(name, None) or "0").lower().rstrip("b")
+    size = float(held_to.rstrip("kmgt")) * {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}.get(held_to[-1], 1)
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

@@ -267,9 +267,12 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = pinned(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     # A broadcast of at most `sample_rows` rows: the texts need no shuffle.
-    sample = documents.select("doc_id", "text").join(F.broadcast(first), "doc_id")
-    # An id may have several rows: the sample's bound holds for rows.
-    sample = pinned(sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows))
+    sample = documents.select("doc_id", "text").join(F.broadcast(first), "doc_id").withColumn("key", F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("b")))
+    # An id may have several rows: the bound holds for rows, of which equal ones count once. Only keys are ordered.
+    last = sample.select("key").distinct().orderBy("key").limit(sample_rows).agg(F.max("key").alias("key")).first().key
+    if last is not None:
+        sample = sample.where(F.col("key") <= F.struct(*[F.lit(x).cast("long").alias(name) for name, x in last.asDict().items()]))
+    sample = pinned(sample.groupBy("key", "toxic").agg(F.first("text").alias("text")).select("text", "toxic"))
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:

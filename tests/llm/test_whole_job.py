@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import line_dedup, lm_scoring
+from spindrift.llm import common, line_dedup, lm_scoring
 
 
 def test_lm_scores_do_not_depend_on_the_words_broadcast(spark):
@@ -41,3 +41,14 @@ def test_pipeline_keeps_rows_without_id_and_other_texts_of_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted([("0", A), ("0", C), ("None", B), ("None", D), ("6", "some other text of six words")])
+
+
+def test_arrow_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for before, after in (("256m", common.BATCH_BYTES), ("64MB", common.BATCH_BYTES), ("1024", 1024), ("4k", "4k"), ("-1", common.BATCH_BYTES)):
+        spark.conf.set(name, before)
+        common.steady(spark)
+        assert spark.conf.get(name) in (str(after), f"{after}b")
+    spark.conf.unset(name)
+    common.steady(spark)
+    assert spark.conf.get(name) == str(common.BATCH_BYTES)
