@@ -41,7 +41,7 @@ SAME, OF = 4, 5
 #: Lines below this many distinct words match none but equal sets.
 JOINED = 4
 #: Partners that are passed on to verification: few where the nearest is surely one, else more.
-NEAREST, IF_NEAR = 512, 16
+NEAREST, IF_NEAR = 64, 16
 CELL_BITS, BLOCK_BITS = 24, 18
 SALTS = 16
 WORD_BITS = 52
@@ -333,7 +333,7 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
     order = ids >> np.uint64(32)
     n, at = p["n"].astype(np.int64), p["at"].astype(np.int64)
     found: list[list[np.ndarray]] = []
-    kept = 0
+    kept, bound = 0, 400_000
 
     def reduce(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
         rows = [np.concatenate(x) for x in zip(*rows)]
@@ -378,9 +378,10 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
             if len(far):
                 found.append([ids[later], ids[earlier], far, np.zeros(len(far), bool), sure, sure & (4 * far <= most)])
             kept += len(far)
-            if nearest is not None and kept > 400_000:
+            if nearest is not None and kept > bound:
                 found = [reduce(found)]
                 kept = len(found[0][0])
+                bound = max(bound, 2 * kept)
         step += 1
     if not found:
         return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, bool)]
