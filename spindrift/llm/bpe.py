@@ -20,7 +20,7 @@ import numpy as np
 from spindrift.llm.common import held
 
 #: Entries kept in a worker before the cache starts anew: a bound on memory, not on what is encoded.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 
 
 class _Held(dict):

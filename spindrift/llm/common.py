@@ -84,14 +84,6 @@ def tidy(spark: SparkSession) -> None:
 _held: dict = {}
 
 
-def held(key: object, make: Callable[[], object]) -> object:
-    """The one large object that a worker keeps between tasks, whatever operator made it."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = make()
-    return _held[key]
-
-
 def forget() -> None:
     """Drops what `held` keeps, and gives freed memory back to the system."""
     if _held:
@@ -104,6 +96,14 @@ def forget() -> None:
         pass
 
 
+def held(key: object, make: Callable[[], object]) -> object:
+    """The one large object that a worker keeps between tasks, whatever operator made it."""
+    if key not in _held:
+        forget()
+        _held[key] = make()
+    return _held[key]
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

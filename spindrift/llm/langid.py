@@ -27,7 +27,7 @@ from spindrift.llm.pieces import pieces_path, processor
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
 FLUSH_WORDS = 300_000
 #: Pseudo-count of every piece in every language.
 SMOOTHING = 0.05
@@ -60,7 +60,7 @@ def piece_counts(labelled: DataFrame, path: str) -> DataFrame:
             words_of.clear()
 
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=2 << 20):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                     words_of.setdefault(lang, Counter()).update(letter_words(text))
                     totals.setdefault(lang, np.zeros(size + 1, np.int64))[size] += 1
@@ -159,7 +159,7 @@ def identify(documents: DataFrame, model: Languages, keep: tuple[str, ...] = ("d
         model = shared.value
         known: Marginal = held(("languages", model.key), lambda: Marginal(model))
         names, scores = [], []
-        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=4 << 20):
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=1 << 20):
             if len(known) > HELD_WORDS:
                 known.clear()
             for text in part.column("text").to_pylist():

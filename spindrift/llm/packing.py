@@ -50,7 +50,7 @@ def cut_pieces(documents: DataFrame, path: str, sequence: int = SEQUENCE, end_id
         encode = encoder(path).encode
         part_no, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=1 << 20):
                 rows: list[tuple] = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = encode(text or "") + end
