@@ -3,8 +3,8 @@
 Equal vectors of one label are one representative with a multiplicity. Each of `TREES` trees splits
 the representatives of a label by random directions, at the median of a sample of at most
 `SAMPLE_ROWS` vectors; vectors within `SPILL` of a split go to both sides. The depth follows from the
-label's count, and leaves above `LEAF_ROWS` are split again until none is left (leaves that no
-direction divides are compared in pairs of chunks). Within a leaf all cosines are computed in double
+label's count, and leaves above `LEAF_ROWS` are split again while that saves comparisons (the others,
+of near copies, are compared in pairs of chunks). Within a leaf all cosines are computed in double
 precision. A pair is counted in the first leaf that its members share and nowhere else, so a leaf
 returns a link count and one edge per member, never its pairs; components come from the edges.
 
@@ -33,6 +33,10 @@ LEAF_ROWS = 768
 SAMPLE_ROWS = 4096
 FEWEST = 16
 RESPLITS = 16
+#: A split is no use with more than this share of the sample within SPILL of it; other places for it.
+AMID, QUANTILES = 0.5, (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9)
+#: A leaf is split again if that leaves at most this share of its pairs to compare.
+WORTHWHILE = 0.6
 CODE_BITS = 56
 
 
@@ -42,29 +46,34 @@ class Tree:
     def __init__(self, number: int, sample: np.ndarray) -> None:
         self.number, self.sample = number, sample
         self.members = {1: np.arange(len(sample))}
-        self.splits: dict[int, tuple[np.ndarray, float]] = {}
+        self.splits: dict[int, tuple[np.ndarray, float, bool]] = {}
 
     def _members(self, code: int) -> np.ndarray:
         if code not in self.members:
             parent = self._members(code >> 1)
-            direction, middle = self.split(code >> 1)
+            direction, middle, _ = self.split(code >> 1)
             own = parent[(self.sample[parent] @ direction > middle) == bool(code & 1)]
             self.members[code] = own if len(own) >= FEWEST else parent
         return self.members[code]
 
-    def split(self, code: int) -> tuple[np.ndarray, float]:
+    def split(self, code: int) -> tuple[np.ndarray, float, bool]:
+        """Direction, threshold, and whether it divides the sample: else nearly all would go to both sides.
+        The threshold is the median, or if that is amid near copies the quantile of the fewest around it."""
         if code not in self.splits:
             draw = np.random.default_rng([self.number, code & 0xFFFFFFFF, code >> 32, 77])
             direction = draw.standard_normal(self.sample.shape[1])
             direction /= np.linalg.norm(direction)
-            own = self._members(code)
-            self.splits[code] = direction, float(np.median(self.sample[own] @ direction)) if len(own) else 0.0
+            at = self.sample[self._members(code)] @ direction
+            middle, around = (float(np.median(at)), lambda x: float((np.abs(at - x) <= SPILL).mean())) if len(at) else (0.0, lambda _: 0.0)
+            if around(middle) > AMID:
+                middle = min(np.quantile(at, QUANTILES).tolist(), key=around)
+            self.splits[code] = direction, middle, around(middle) <= AMID
         return self.splits[code]
 
     def descend(self, unit: np.ndarray, codes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf codes after so many more levels for each row."""
         rows, codes, left = np.arange(len(unit)), codes.copy(), levels.copy()
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done = [(rows[:0], codes[:0])]  # a batch may have no row of this tree
         while len(rows):
             over = left <= 0
             done.append((rows[over], codes[over]))
@@ -72,7 +81,10 @@ class Tree:
             sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for code in np.unique(codes):
                 own = np.flatnonzero(codes == code)
-                direction, middle = self.split(int(code))
+                direction, middle, divides = self.split(int(code))
+                if not divides:
+                    done.append((rows[own], codes[own]))
+                    continue
                 at = unit[rows[own]] @ direction - middle
                 for side, go in ((0, at <= SPILL), (1, at > -SPILL)):
                     take = own[go]
@@ -102,7 +114,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _leaves(rows: DataFrame, shared, split_from: str) -> DataFrame:
-    """rep, label, width, mult, vec, leaf (tree and code) for rows with `levels`; `split_from` is "root"
+    """rep, label, width, mult, vec, leaf (tree and code) and the leaf it was for rows with `levels`; `split_from` is "root"
     (all trees) or "leaf"."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,21 +129,32 @@ def _leaves(rows: DataFrame, shared, split_from: str) -> DataFrame:
                     sample = samples.get(int(width), np.zeros((0, int(width))))
                     forests[width] = [Tree(t, sample) for t in range(TREES)]
                 levels = part.column("levels").to_numpy()
-                found = []
+                found, was = [], part.column("leaf").to_numpy() if split_from == "leaf" else np.zeros(len(unit), np.int64)
                 if split_from == "root":
                     for t, tree in enumerate(forests[width]):
                         r, c = tree.descend(unit, np.ones(len(unit), np.int64), levels)
                         found.append((r, (t << CODE_BITS) | c))
                 else:
-                    leaf = part.column("leaf").to_numpy()
                     for t, tree in enumerate(forests[width]):
-                        own = np.flatnonzero(leaf >> CODE_BITS == t)
-                        r, c = tree.descend(unit[own], leaf[own] & ((1 << CODE_BITS) - 1), levels[own])
+                        own = np.flatnonzero(was >> CODE_BITS == t)
+                        r, c = tree.descend(unit[own], was[own] & ((1 << CODE_BITS) - 1), levels[own])
                         found.append((own[r], (t << CODE_BITS) | c))
                 at, leaf = (np.concatenate(x) for x in zip(*found))
-                yield part.select(["rep", "label", "width", "mult", "vec"]).take(pa.array(at)).append_column("leaf", pa.array(leaf.astype(np.int64)))
+                yield part.select(["rep", "label", "width", "mult", "vec"]).take(pa.array(at)).append_column("leaf", pa.array(leaf.astype(np.int64))).append_column("was", pa.array(was[at]))
 
-    return rows.mapInArrow(split, "rep long, label long, width int, mult long, vec array<double>, leaf long")
+    return rows.mapInArrow(split, "rep long, label long, width int, mult long, vec array<double>, leaf long, was long")
+
+
+def _met_before(homes: pa.ListArray, leaf: int):
+    """Of rows from one number to another, and all rows: whether they share a leaf that comes before `leaf`."""
+    flat, owner = homes.flatten().to_numpy(), np.repeat(np.arange(len(homes)), np.diff(homes.offsets.to_numpy()))
+    go = flat < leaf
+    names, column = np.unique(flat[go], return_inverse=True)
+    inside = np.zeros((len(homes), len(names)), np.float32)
+    inside[owner[go], column] = 1
+    # Leaves that one row alone has are shared with none.
+    inside = np.ascontiguousarray(inside[:, inside.sum(axis=0) > 1])
+    return lambda a, b: inside[a:b] @ inside.T > 0
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -155,15 +178,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int =
     depth = reps.groupBy(*keys).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / leaf_rows)).cast("int") + 1).alias("levels"))
     depth = depth.withColumn("levels", F.when(F.col("levels") <= 1, 0).otherwise(F.least("levels", F.lit(CODE_BITS - 10))))
     leaves = pinned(_leaves(reps.join(depth, keys), shared, "root"))
+    code = F.col("leaf").bitwiseAND((1 << CODE_BITS) - 1)
+    whole: list[DataFrame] = []
     for _ in range(RESPLITS):
-        big = leaves.groupBy(*keys, "leaf").count().where(F.col("count") > leaf_rows)
-        big = big.where(F.col("leaf").bitwiseAND((1 << CODE_BITS) - 1) < (1 << (CODE_BITS - 3)))
-        if big.isEmpty():
-            break
+        big = leaves.groupBy(*keys, "leaf").count().where(F.col("count") > leaf_rows).where(code < (1 << (CODE_BITS - 3)))
+        for left in whole:
+            big = big.join(left, [*keys, "leaf"], "left_anti")
         big = pinned(big.withColumn("levels", F.lit(2)))
-        again = _leaves(leaves.join(big, [*keys, "leaf"]), shared, "leaf")
-        before, leaves = leaves, pinned(leaves.join(big, [*keys, "leaf"], "left_anti").select(*again.columns).union(again))
-        release(before, big)
+        again = pinned(_leaves(leaves.join(big, [*keys, "leaf"]), shared, "leaf"))
+        work = again.groupBy(*keys, "was", "leaf").count().groupBy(*keys, F.col("was").alias("leaf")).agg(F.sum(F.col("count").cast("double") ** 2).alias("work"))
+        # Near copies lie within SPILL of any split between them: splits would only multiply them.
+        judged = pinned(big.join(work, [*keys, "leaf"]).select(*keys, "leaf", (F.col("work") <= WORTHWHILE * F.col("count").cast("double") ** 2).alias("split")))
+        divided, left = judged.where("split").drop("split"), judged.where("not split").drop("split")
+        if divided.isEmpty():
+            release(big, again, judged)
+            break
+        children = again.join(divided.withColumnRenamed("leaf", "was"), [*keys, "was"], "left_semi")
+        before, leaves = leaves, pinned(leaves.join(divided, [*keys, "leaf"], "left_anti").select(*again.columns).union(children.select(*again.columns)))
+        whole.append(left)
+        release(before, big, again)
 
     sizes = leaves.groupBy(*keys, "leaf").agg(F.ceil(F.count("*") / (2 * leaf_rows)).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")
     homes = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("homes"))
@@ -176,25 +209,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int =
         leaf, width = t.column("leaf")[0].as_py(), t.column("width")[0].as_py()
         unit = _unit(matrix(t.column("vec"), width))
         rep, mult, chunk = (t.column(c).to_numpy() for c in ("rep", "mult", "chunk"))
-        homes = t.column("homes").to_pylist()
-        wide = max(map(len, homes))
-        sets = np.array([x + [-1] * (wide - len(x)) for x in homes], np.int64)
+        before = _met_before(t.column("homes").combine_chunks(), leaf)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         links, ends = np.zeros(len(rep), np.int64), []
         for at in range(0, len(rep), 512):
-            a, b = np.nonzero(unit[at : at + 512] @ unit.T >= cosine)
-            a += at
-            go = a < b
+            near = unit[at : at + 512] @ unit.T >= cosine
+            np.fill_diagonal(near[:, at:], False)
             if i != j:
-                go &= chunk[a] != chunk[b]
-            a, b = a[go], b[go]
-            ends.append((a, b))
-            for p in range(0, len(a), 20_000):
-                x, y = a[p : p + 20_000], b[p : p + 20_000]
-                both = (sets[x][:, :, None] == sets[y][:, None, :]).any(axis=2) & (sets[x] >= 0)
-                first = np.where(both, sets[x], np.iinfo(np.int64).max).min(axis=1) == leaf
-                np.add.at(links, x[first], mult[y[first]])
-                np.add.at(links, y[first], mult[x[first]])
+                near &= chunk[at : at + 512, None] != chunk
+            a, b = np.nonzero(near)
+            ends.append((a[a + at < b] + at, b[a + at < b]))
+            links[at : at + 512] = (near & ~before(at, at + 512)) @ mult
         a, b = (np.concatenate(x) for x in zip(*ends))
         root = local_components(len(rep), a, b)
         some = np.zeros(len(rep), bool)

@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import common, line_dedup, lm_scoring
+from spindrift.llm import common, line_dedup, lm_scoring, vector_dedup
 
 
 def test_lm_scores_do_not_depend_on_the_words_broadcast(spark):
@@ -52,3 +53,20 @@ def test_arrow_batches_are_bounded(spark):
     spark.conf.unset(name)
     common.steady(spark)
     assert spark.conf.get(name) == str(common.BATCH_BYTES)
+
+
+def test_no_rows_of_a_tree_in_a_batch():
+    tree = vector_dedup.Tree(0, np.eye(4))
+    rows, codes = tree.descend(np.zeros((0, 4)), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(rows) == len(codes) == 0
+
+
+def test_near_copies_that_no_split_divides(spark):
+    """Splits of near copies multiply them: they are compared as they are, and all links are found."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(32) + rng.standard_normal((400, 32)) * 0.002
+    v = np.vstack([v, rng.standard_normal((100, 32))]).astype(np.float32)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(vectors, leaf_rows=30).collect()}
+    assert got == {i: (399, 0) if i < 400 else (0, i) for i in range(500)}
