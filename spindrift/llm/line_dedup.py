@@ -56,6 +56,8 @@ FLUSH_BYTES = 12 << 20
 RECENT = 1 << 18
 #: Lines sorted at once: a line's number within such a block takes twelve bits of a sort key.
 SORTED = 1 << 12
+#: Pairs of postings compared at once.
+COMPARED = 1 << 18
 
 
 def rank_of(count: np.ndarray | int) -> np.ndarray:
@@ -351,19 +353,33 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
         go = place < np.repeat(most, count)
         return [x[go] for x in rows]
 
-    left = np.arange(max(0, len(p) - 1))
-    step = 1
-    while len(left):
-        left = left[left + step < len(p)]
-        right = left + step
-        go = (token[left] == token[right]) & (OF * n[left] >= SAME * n[right])
-        left, right = left[go], right[go]
-        both = n[left] + n[right]
+    # Of two classes in order of length, the words of the shorter one from the common word on bound the other's
+    # length: with `least` words in common, SAME * (its n + the other's) <= (SAME + OF) * those words.
+    own = n - at
+    longest = np.minimum(OF * n // SAME, (SAME + OF) * own // SAME - n)
+    listed = token.astype(np.int64) << 31
+    ends = np.searchsorted(listed | n, listed | np.maximum(longest, 0), side="right")
+    left = np.flatnonzero(ends > np.arange(len(p)) + 1)
+    count = ends[left] - left - 1
+    # The most bits that sketches of a pair within the bounds can differ by.
+    limit = ((n + longest) * (OF - SAME) // (SAME + OF)).astype(np.int32)
+    total = np.cumsum(count)
+    start = 0
+    while start < len(left):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + COMPARED, side="right")))
+        some, k = left[start:stop], count[start:stop]
+        right = np.arange(total[stop - 1] - before) + np.repeat(some + 1 - (total[start:stop] - k - before), k)
+        far = np.bitwise_count(np.repeat(sketch[some, 0], k) ^ sketch[right, 0]).astype(np.int32 if sketch.shape[1] > 1 else np.uint8)
+        for w in range(1, sketch.shape[1]):
+            far += np.bitwise_count(np.repeat(sketch[some, w], k) ^ sketch[right, w])
+        go = np.flatnonzero(far <= np.repeat(limit[some], k))
+        a, b, far = np.repeat(some, k)[go], right[go], far[go].astype(np.int32)
+        start = stop
+        both = n[a] + n[b]
         least = -(-SAME * both // (SAME + OF))  # of common words
-        ok = np.minimum(n[left] - at[left], n[right] - at[right]) >= least
-        a, b, most = left[ok], right[ok], (both - 2 * least)[ok]
-        far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int32)
-        ok = far <= most
+        most = both - 2 * least
+        ok = (np.minimum(own[a], own[b]) >= least) & (far <= most)
         a, b, far, most = a[ok], b[ok], far[ok], most[ok]
         if len(a):
             swap = order[a] > order[b]
@@ -382,7 +398,6 @@ def nearest_earlier(p: np.ndarray, nearest: tuple[int, int] | None, later_in: np
                 found = [reduce(found)]
                 kept = len(found[0][0])
                 bound = max(bound, 2 * kept)
-        step += 1
     if not found:
         return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, bool, bool)]
     return reduce(found)[:5]

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import time
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -70,3 +72,37 @@ def test_near_copies_that_no_split_divides(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(vectors, leaf_rows=30).collect()}
     assert got == {i: (399, 0) if i < 400 else (0, i) for i in range(500)}
+
+
+def postings(rng, size):
+    p = np.zeros(size, line_dedup._posting(0))
+    p["n"] = rng.integers(4, 61, size)
+    p["at"] = rng.random(size) * (p["n"] // 5 + 1)
+    p["id"] = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+    p["sketch"] = rng.integers(0, 1 << 63, (size, 1), dtype=np.uint64)
+    return p
+
+
+def test_long_lists_of_one_word_are_compared_in_little_time():
+    p = postings(np.random.default_rng(5), 20_000)
+    start = time.process_time()
+    line_dedup.nearest_earlier(p, (16, 64), None)
+    assert time.process_time() - start < 1.2
+
+
+def test_all_pairs_of_a_list_within_the_filters():
+    rng = np.random.default_rng(6)
+    p = postings(rng, 600)
+    p["token"] = rng.integers(0, 2, 600)
+    p["sketch"] = np.where(rng.random((600, 1)) < 0.7, np.uint64(7) << rng.integers(0, 6, (600, 1)).astype(np.uint64), p["sketch"])
+    rows = p.tolist()
+    expected = set()
+    for x in rows:
+        for y in rows:
+            both = x[1] + y[1]
+            least, far = -(-4 * both // 9), (int(x[4][0]) ^ int(y[4][0])).bit_count()
+            fits = 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]) and min(x[1] - x[2], y[1] - y[2]) >= least
+            if x[0] == y[0] and fits and far <= both - 2 * least and x[3] >> 32 > y[3] >> 32:
+                expected.add((x[3], y[3], far))
+    found = line_dedup.nearest_earlier(p, None, None)
+    assert set(zip(*[x.tolist() for x in found[:3]])) == expected and expected
