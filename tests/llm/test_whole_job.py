@@ -4,6 +4,7 @@ import time
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,34 @@ def test_lm_scores_do_not_depend_on_the_words_broadcast(spark):
             assert got[doc_id].n_known == r.n_known
 
 
+def test_lm_is_fitted_on_every_training_window(spark):
+    rows = [(i, " ".join(f"w{(i * 31 + j * 17) % 997}" for j in range(10_000))) for i in range(40)] + [(40, None), (41, ""), (42, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gathered = common.pinned(lm_scoring.gather(docs, lm_scoring.vocabulary_path()))
+    counts = {r.key: r.n for r in gathered.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    found = lm_scoring.training_windows(gathered).collect()
+    n, met = np.zeros(len(lm_scoring.SHARES)), np.zeros(lm_scoring.SYMBOLS, np.int64)
+    for r in found:
+        symbols, lengths = lm_scoring.unpack_windows(r.ids, r.n)
+        assert len(lengths) == r.n and len(symbols) == lengths.sum() and 0 < lengths.min() and lengths.max() <= lm_scoring.WINDOW
+        met += np.bincount(symbols, minlength=lm_scoring.SYMBOLS)
+        n[r["round"]] += r.n
+    assert n.sum() > 20_000 and {i: c for i, c in enumerate(met.tolist()) if c} == counts
+    assert np.abs(n / n.sum() - np.array(lm_scoring.SHARES) / 64).max() < 0.02
+    # What a worker trains on is all it is given.
+    batches = [pa.RecordBatch.from_pylist([{"n": r.n, "ids": r.ids}]) for r in found]
+    assert sum(len(lengths) for _, lengths in lm_scoring._runs_of_windows(iter(batches))) == n.sum()
+
+
+def test_neighbours_count_both_sides(spark):
+    windows = [np.array([3, 5, 3, 70_001]), np.array([5, 70_001]), np.array([3])]
+    packed = lm_scoring.pack_windows(np.concatenate(windows), np.array([len(x) for x in windows]))
+    df = spark.createDataFrame([(0, 3, packed)], "round long, n long, ids binary")
+    near = lm_scoring.neighbours(df, np.array([5, 70_001]))
+    assert near[3].tolist()[:2] == [2, 1] and near[5].tolist()[:2] == [0, 1] and near[70_001].tolist()[:2] == [1, 0]
+    assert near.sum() == 5
+
+
 A, B, C, D = ("one two three four five six", "red green blue black white grey", "sun moon star sky cloud rain", "oak elm ash fir yew box")
 
 
