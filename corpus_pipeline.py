@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import langid, line_dedup, mixing, near_dedup, packing
-from spindrift.llm.common import DOCUMENT_COLUMNS, pinned, steady, table
+from spindrift.llm.common import DOCUMENT_COLUMNS, pinned, steady, table, tidy
 
 #: A language is believed from this posterior probability.
 LEAST_SCORE = 0.5
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no letter, so they go here. Of equally probable languages the first counts."""
     steady(spark)
+    tidy(spark)
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = langid.learn(docs.where(~langid.held_out()))
     found = langid.identify(docs, model, DOCUMENT_COLUMNS)
@@ -35,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that match an earlier line (operator 6), and without documents that had no other words.
 
     Documents that lose no line stay as they are, whatever they hold; n_chars is that of the text left."""
+    tidy(spark)
     out = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -44,18 +46,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 7), rows without an id or of a repeated one
     included: that of the smallest id."""
+    tidy(spark)
     return near_dedup.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (operator 9): not at all, once or twice. Documents without a
     source are a source of their own."""
+    tidy(spark)
     return mixing.mixed_documents(docs.select(*DOCUMENT_COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and offsets (operator 8); a document that the mix
     takes twice has its pieces twice."""
+    tidy(spark)
     return packing.pack(packing.cut_pieces(docs, packing.vocabulary_path()))
 
 

@@ -1,10 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import os
+import subprocess
+import sys
 import time
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +139,35 @@ def test_all_pairs_of_a_list_within_the_filters():
                 expected.add((x[3], y[3], far))
     found = line_dedup.nearest_earlier(p, None, None)
     assert set(zip(*[x.tolist() for x in found[:3]])) == expected and expected
+
+
+def test_executors_give_their_heap_back(tmp_path):
+    """In a session of its own, since only a cluster has executors beside the driver."""
+    script = tmp_path / "heap.py"
+    script.write_text(HEAP)
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    own = os.environ | {"PYTHONPATH": root, "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_HOME": os.path.dirname(pyspark.__file__), "SPARK_SCALA_VERSION": "2.13"}
+    run = subprocess.run([sys.executable, str(script)], env=own, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "heap" in run.stdout, run.stderr[-2000:]
+    before, after = map(float, run.stdout.split("heap")[1].split()[:2])
+    assert after < 0.7 * before, (before, after)
+
+
+HEAP = """
+import time, psutil
+from pyspark.sql import SparkSession
+from spindrift.llm.common import tidy
+spark = SparkSession.builder.master("local-cluster[1,4,2000]").config("spark.executor.memory", "1800m").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+
+def size():
+    for p in psutil.Process().children(recursive=True):
+        if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()):
+            return psutil.Process(p.pid).memory_info().rss / 2**20
+
+spark.range(3000000).selectExpr("id % 1000000 k", "repeat(uuid(), 4) v").groupBy("k").agg({"v": "max"}).write.format("noop").mode("overwrite").save()
+before = size()
+tidy(spark)
+time.sleep(3)  # memory is given back beside the program
+print("heap", before, size(), flush=True)
+spark.stop()
+"""
