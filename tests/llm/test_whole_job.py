@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 import time
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -44,6 +45,38 @@ def test_lm_is_fitted_on_every_training_window(spark):
     assert sum(len(lengths) for _, lengths in lm_scoring._runs_of_windows(iter(batches))) == n.sum()
 
 
+def test_lm_workers_hold_spellings_and_windows_in_little_memory():
+    speller = lm_scoring.Speller(lm_scoring.vocabulary_path())
+    texts = [" ".join(f"w{i * 7919 % 1_000_003}x" for i in range(at, at + 20_000)).encode() for at in range(0, 400_000, 20_000)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for text in texts:
+        speller.spell(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 100 * 400_000
+    # A row of half a megabyte takes more than its size of an executor's heap.
+    windows = lm_scoring.Windows()
+    n = 40_000 * lm_scoring.WINDOW
+    windows.add(np.array([1]), np.arange(n) % lm_scoring.SYMBOLS, np.array([0, n]))
+    rows = windows.flush()
+    assert sum(rows.column("n").to_pylist()) == 40_000 and max(map(len, rows.column("ids").to_pylist())) < 1 << 18
+
+
+def test_lm_spellings_of_more_words_than_places(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLOTS", 8)
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 250)
+    speller = lm_scoring.Speller(lm_scoring.vocabulary_path())
+    for start in (0, 50, 200, 0, 5_000):
+        words = [f"word{i * 37 % 9973}s" for i in range(start, start + 1 + start // 2 + 100)]
+        text = " ".join(words * 2).encode()
+        _, keys, place, flat, bounds = speller.spell(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert len(keys) == len(words) + 1
+        for w, at in zip(words * 2, place):
+            ids = speller.encoder.array(" " + w)
+            assert flat[bounds[at] : bounds[at + 1]].tolist() == [2 * i + (j == len(ids) - 1) for j, i in enumerate(ids.tolist())]
+
+
 def test_neighbours_count_both_sides(spark):
     windows = [np.array([3, 5, 3, 70_001]), np.array([5, 70_001]), np.array([3])]
     packed = lm_scoring.pack_windows(np.concatenate(windows), np.array([len(x) for x in windows]))
